@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltmill.llm import packing, pieces, token_counts, url_filter
+from siltmill.llm import fingerprints, language, near_dedup, packing, pieces, quality, token_counts, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,10 +18,38 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_documents(_read(spark, sf_dir, "documents"))
+
+
+def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(_read(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: their lang column is what was declared, their source the host."""
+    return language.identify(_read(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages: the html tag's lang, the URL's host and its suffix, with the documents' text model."""
+    docs, pages = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages")
+    model = language.fit_text_model(docs, "text", "lang", "doc_id")
+    html = F.col("html")
+    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "), r"&[A-Za-z0-9#]+;", " ")
+    told = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
+    made = pages.select("page_id", body.alias("body"), F.when(told != "", told).alias("told"), language.host_of(F.col("url")).alias("host"))
+    return language.identify(made, "page_id", "body", declared=F.col("told"), host=F.col("host"), model=model)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_read(spark, sf_dir, "documents"), decoded=True)
 
 
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(_read(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
 
@@ -34,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": url_filter.ORACLE_SQL}
+    return {"op2_simhash": fingerprints.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
