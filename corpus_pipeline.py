@@ -1,30 +1,56 @@
 """The corpus pipeline: language ID, quality rules, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
-written as Parquet and read again as the next one's docs.
+written as Parquet and read again as the next one's docs. All but the last return the columns of
+documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltmill.llm import packing
+from siltmill.llm import language, near_dedup, packing, quality
+from siltmill.session import use_repo, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; their lang column is what was declared, their source the host."""
+    use_repo(spark)
+    return language.keep_known(docs, declared=F.col("lang"), host=F.col("source"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't repeat themselves too much."""
+    use_repo(spark)
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the least id."""
+    use_repo(spark)
+    return near_dedup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of all documents into bins of 2048 words: a row for each document's piece."""
+    """All documents in bins of 2048 words: a row for each document's piece."""
+    use_repo(spark)
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("packing", pack),
+]
 
 #: No stage of these is within SQL's reach; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltmill.session import written
-
+    """The packing of all documents that the stages keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
