@@ -1,7 +1,7 @@
 """Segment each distinct chunk of text once, and join the answers back to the documents.
 
 A block is some 32 MB of consecutive texts of one input task. It is coded against its own table of
-distinct chunks, whose codes are small where chunks are frequent; so a document is one short blob.
+distinct chunks, whose codes are small where chunks are frequent; so a document is a short run of numbers.
 The block sends its distinct chunks to hash buckets, one row for each bucket. In a bucket, equal
 chunks of all blocks meet, each is answered once, and the answers go back to the blocks. Two
 shuffles, both of packed rows: the chunk requests and the coded documents; never one row a word.
@@ -19,45 +19,70 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmill.llm.text import Codes, ragged
+from siltmill.llm.text import Codes
 
 #: Hash buckets for distinct chunks: more tasks than this can't share the segmenting.
-BUCKETS = 4096
+BUCKETS = 1024
 BLOCK_CHARS = 1 << 25
-NAMES = ["kind", "route", "block", "seq", "id", "data"]
+#: Documents in a row of packed ones.
+TOGETHER = 64
+NAMES = ["kind", "route", "block", "seq", "ids", "data"]
 
 _squeeze = zstandard.ZstdCompressor(level=1).compress
 _expand = zstandard.ZstdDecompressor().decompress
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as a plane of low halves and one of high halves."""
-    x = x.astype(np.uint32)
-    return (x & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (x >> np.uint32(16)).astype(np.uint16).tobytes()
+def _frames(parts: list[bytes]) -> bytes:
+    return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
 
 
-def _whole(data: bytes) -> np.ndarray:
-    half = np.frombuffer(data, np.uint16).reshape(2, -1).astype(np.uint32)
-    return half[0] | half[1] << np.uint32(16)
+def _split(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    ends = (np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 + 255: one byte each, where 255 says that four byte planes hold the rest."""
+    rest = (x[x >= 255] - 255).astype(np.uint32)
+    planes = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 4).T)
+    return _frames([_squeeze(np.minimum(x, 255).astype(np.uint8).tobytes()), *(_squeeze(p.tobytes()) for p in planes)])
 
-def pack_sequence(codes: np.ndarray) -> bytes:
-    return _squeeze(_planes(codes))
 
+def unpack_numbers(data: bytes) -> np.ndarray:
+    small, *planes = (np.frombuffer(_expand(p), np.uint8) for p in _split(data))
+    x = small.astype(np.int64)
+    if len(planes[0]):
+        rest = np.ascontiguousarray(np.stack(planes).T).view(np.uint32).ravel()
+        x[x == 255] += rest
+    return x
 
-def unpack_sequence(data: bytes) -> np.ndarray:
-    return _whole(_expand(data)).astype(np.int64)
 
+def pack_sequences(docs: list[np.ndarray | None]) -> bytes:
+    """Some documents' codes in order; None stays apart from a document without chunks."""
+    lens = np.array([0 if d is None else len(d) + 1 for d in docs], np.int64)
+    return _frames([pack_numbers(lens), pack_numbers(np.concatenate([d for d in docs if d is not None] or [lens[:0]]))])
 
-def pack_counts(codes: np.ndarray) -> bytes:
-    """Distinct codes, as steps, and how often each occurs."""
-    keys, counts = np.unique(codes, return_counts=True)
-    return _squeeze(_planes(np.concatenate([np.diff(keys, prepend=0), counts])))
 
+def pack_counts(docs: list[np.ndarray | None]) -> bytes:
+    """Some documents' distinct codes, as steps, and how often each occurs."""
+    lens, keys, counts = [], [], []
+    for d in docs:
+        if d is None:
+            lens.append(0)
+            continue
+        k, c = np.unique(d, return_counts=True)
+        lens.append(len(k) + 1)
+        keys.append(np.diff(k, prepend=0))
+        counts.append(c)
+    empty = [np.empty(0, np.int64)]
+    return _frames([pack_numbers(np.array(lens, np.int64)), pack_numbers(np.concatenate(keys or empty)), pack_numbers(np.concatenate(counts or empty))])
 
-def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = _whole(_expand(data)).astype(np.int64).reshape(2, -1)
-    return np.cumsum(both[0]), both[1]
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(which documents are null, their lengths, the packed numbers of all)."""
+    lens, *numbers = map(unpack_numbers, _split(data))
+    return lens == 0, np.maximum(lens - 1, 0), numbers
 
 
 def _requests(chunks: list[str], ranks: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -68,40 +93,37 @@ def _requests(chunks: list[str], ranks: np.ndarray, buckets: np.ndarray) -> Iter
     for end in ends.tolist():
         which = order[at:end]
         texts = [chunks[i].encode() for i in which.tolist()]
-        lens = np.fromiter(map(len, texts), np.uint32, len(texts))
-        head = np.array([len(texts)], np.uint32).tobytes()
-        yield int(buckets[which[0]]), _squeeze(head + _planes(np.concatenate([np.diff(ranks[which], prepend=0), lens])) + b"".join(texts))
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        yield int(buckets[which[0]]), _frames([pack_numbers(np.diff(ranks[which], prepend=0)), pack_numbers(lens), _squeeze(b"".join(texts))])
         at = end
 
 
-def _asked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    data = _expand(data)
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    both = _whole(data[4 : 4 + 8 * n]).reshape(2, -1)
-    ends = (np.cumsum(both[1], dtype=np.int64) + 4 + 8 * n).tolist()
-    return np.cumsum(both[0], dtype=np.int64), [data[a:b] for a, b in zip([4 + 8 * n, *ends], ends)]
+def _asked(data: bytes) -> tuple[bytes, list[bytes]]:
+    """The ranks, as they were packed, and the chunks."""
+    ranks, lens, texts = _split(data)
+    texts = _expand(texts)
+    ends = np.cumsum(unpack_numbers(lens)).tolist()
+    return ranks, [texts[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _answered(ranks: np.ndarray, answers: list[bytes]) -> bytes:
-    lens = np.fromiter(map(len, answers), np.uint32, len(answers))
-    return _squeeze(np.array([len(answers)], np.uint32).tobytes() + _planes(np.concatenate([np.diff(ranks, prepend=0), lens])) + b"".join(answers))
+def _answered(ranks: bytes, answers: list[bytes], width: int) -> bytes:
+    lens = np.fromiter(map(len, answers), np.int64, len(answers)) // width
+    planes = np.ascontiguousarray(np.frombuffer(b"".join(answers), np.uint8).reshape(-1, width).T)
+    return _frames([ranks, pack_numbers(lens), *(_squeeze(p.tobytes()) for p in planes)])
 
 
 class Table:
-    """A block's answers by code: bytes data[start[c] : start[c] + size[c]]."""
+    """A block's answers by code: the numbers data[start[c] : start[c] + size[c]]."""
 
-    def __init__(self, blobs: list[bytes]):
-        ranks, sizes, parts = [], [], []
+    def __init__(self, blobs: list[bytes], dtype: type):
+        ranks, sizes, parts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, dtype)]
         for blob in blobs:
-            data = _expand(blob)
-            n = int(np.frombuffer(data, np.uint32, 1)[0])
-            both = _whole(data[4 : 4 + 8 * n]).reshape(2, -1)
-            ranks.append(np.cumsum(both[0], dtype=np.int64))
-            sizes.append(both[1])
-            parts.append(data[4 + 8 * n :])
-        rank = np.concatenate(ranks) if ranks else np.empty(0, np.int64)
-        size = np.concatenate(sizes).astype(np.int64) if sizes else np.empty(0, np.int64)
-        self.data = b"".join(parts)
+            rank, size, *planes = _split(blob)
+            ranks.append(np.cumsum(unpack_numbers(rank)))
+            sizes.append(unpack_numbers(size))
+            parts.append(np.ascontiguousarray(np.stack([np.frombuffer(_expand(p), np.uint8) for p in planes]).T).view(dtype).ravel())
+        rank, size = np.concatenate(ranks), np.concatenate(sizes)
+        self.data = np.concatenate(parts)
         self.start, self.size = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
         self.start[rank] = np.cumsum(size) - size
         self.size[rank] = size
@@ -113,23 +135,24 @@ def chunk_join(
     text_col: str,
     split: Callable[[str], list[str]],
     solve: Callable[[list[str]], list[bytes]],
-    pack: Callable[[np.ndarray], bytes],
-    finish: Callable[[Table], Callable[[list[bytes | None]], list[pa.Array]]],
+    pack: Callable[[list[np.ndarray | None]], bytes],
+    finish: Callable[[Table], Callable[[bytes], list[pa.Array]]],
     out: list[tuple[str, str]],
-    prepare: Callable[[], None] | None = None,
+    dtype: type,
 ) -> DataFrame:
     """(id, out columns) for each row of docs.
 
-    split cuts a text into chunks, solve answers distinct chunks, pack codes a document, and finish
-    makes a block's table into a function from packed documents to output columns. A null text
-    reaches that function as None; an empty one as a document of no chunks.
+    split cuts a text into chunks, solve answers distinct chunks with numbers of dtype, as bytes, pack
+    codes some documents, and finish makes a block's table into a function from packed documents to
+    output columns. A null text stays apart from one without chunks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"kind int, route long, block long, seq long, id {kind}, data binary"
+    schema = f"kind int, route long, block long, seq long, ids array<{kind}>, data binary"
+    width = np.dtype(dtype).itemsize
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, seq = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         codes, chars = Codes(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -146,19 +169,22 @@ def chunk_join(
                 n = len(rows)
                 b = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), b, pa.array(np.full(n, block)), b, pa.nulls(n, id_type), pa.array([r[1] for r in rows], pa.binary())], NAMES
+                    [pa.array(np.zeros(n, np.int32)), b, pa.array(np.full(n, block)), b, pa.nulls(n, pa.list_(id_type)), pa.array([r[1] for r in rows], pa.binary())], NAMES
                 )
-            for batch, all_codes, counts in held:
+            for ids, all_codes, counts in held:
                 ranked = rank[all_codes]
-                data, at = [], 0
+                docs, at = [], 0
                 for count in counts.tolist():
-                    data.append(None if count < 0 else pack(ranked[at : at + count]))
+                    docs.append(None if count < 0 else ranked[at : at + count])
                     at += max(count, 0)
-                n = batch.num_rows
+                cuts = [*range(0, len(docs), TOGETHER), len(docs)]
+                n = len(cuts) - 1
                 seqs = np.arange(seq, seq + n)
                 seq += n
+                data = [pack(docs[a:b]) for a, b in zip(cuts, cuts[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, 2, np.int32)), pa.array((task * 7919 + seqs) % BUCKETS), pa.array(np.full(n, block)), pa.array(seqs), batch.column(0), pa.array(data, pa.binary())], NAMES
+                    [pa.array(np.full(n, 2, np.int32)), pa.array((task * 7919 + seqs) % BUCKETS), pa.array(np.full(n, block)), pa.array(seqs), lists, pa.array(data, pa.binary())], NAMES
                 )
 
         id_type = None
@@ -174,7 +200,7 @@ def chunk_join(
                 parts.append(part)
                 counts[i] = len(part)
                 chars += len(text)
-            held.append((batch.select([0]), np.concatenate(parts) if parts else np.empty(0, np.int64), counts))
+            held.append((batch.column(0), np.concatenate(parts) if parts else np.empty(0, np.int64), counts))
             if chars >= BLOCK_CHARS:
                 yield from flush()
                 held, chars = [], 0
@@ -200,7 +226,7 @@ def chunk_join(
                 new = [c for c in chunks if c not in memo]
                 if new:
                     memo.update(zip(new, solve([c.decode() for c in new])))
-                data.append(_answered(ranks, [memo[c] for c in chunks]))
+                data.append(_answered(ranks, [memo[c] for c in chunks], width))
             yield pa.RecordBatch.from_arrays([*asked.columns[:5], pa.array(data, pa.binary())], NAMES)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,10 +244,10 @@ def chunk_join(
                     blobs += part.column(5).to_pylist()
                     continue
                 if apply is None:
-                    apply, blobs = finish(Table(blobs)), []
-                for at in range(0, part.num_rows, 512):
-                    few = part.slice(at, 512)
-                    yield pa.RecordBatch.from_arrays([few.column(4), *apply(few.column(5).to_pylist())], [id_col, *(n for n, _ in out)])
+                    apply, blobs = finish(Table(blobs, dtype)), []
+                for i in range(part.num_rows):
+                    ids = part.column(4).slice(i, 1).flatten()
+                    yield pa.RecordBatch.from_arrays([ids, *apply(part.column(5)[i].as_py())], [id_col, *(n for n, _ in out)])
 
     coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
     met = coded.repartition("route").sortWithinPartitions("route", "kind").mapInArrow(answer, schema)

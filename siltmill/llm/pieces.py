@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmill.llm.chunk_join import Table, chunk_join, pack_sequence, unpack_sequence
+from siltmill.llm.chunk_join import Table, chunk_join, pack_sequences, unpack
 from siltmill.llm.text import ragged
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -104,20 +104,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     load(model)
 
-    def finish(table: Table) -> Callable[[list[bytes | None]], list[pa.Array]]:
-        width = np.dtype(_width(model)).itemsize
-        ids = np.frombuffer(table.data, _width(model))
-        start, size = table.start // width, table.size // width
+    def finish(table: Table) -> Callable[[bytes], list[pa.Array]]:
         spelled = piece_bytes(model) if decoded else None
 
-        def apply(rows: list[bytes | None]) -> list[pa.Array]:
-            coded = [unpack_sequence(r) if r is not None else np.empty(0, np.int64) for r in rows]
-            codes = np.concatenate(coded)
-            sizes = size[codes]
-            flat = ids[ragged(start[codes], sizes)]
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(c) for c in coded])]
+        def apply(packed: bytes) -> list[pa.Array]:
+            null, lens, (codes,) = unpack(packed)
+            sizes = table.size[codes]
+            flat = table.data[ragged(table.start[codes], sizes)]
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lens)]
             counts = np.diff(ends, prepend=0)
-            null = np.array([r is None for r in rows])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(null, False)), pa.array(flat.astype(np.int32)))
             out = [lists, pa.array(counts, mask=null)]
             if spelled:
@@ -127,7 +122,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         return apply
 
     out = [("ids", "array<int>"), ("n_ids", "long")] + [("decoded", "string")] * decoded
-    return chunk_join(docs, id_col, text_col, marked_words, _solver(model), pack_sequence, finish, out)
+    return chunk_join(docs, id_col, text_col, marked_words, _solver(model), pack_sequences, finish, out, _width(model))
 
 
 def decode(table: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:

@@ -12,7 +12,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from siltmill.llm.chunk_join import Table, chunk_join, pack_counts, unpack_counts
+from siltmill.llm.chunk_join import Table, chunk_join, pack_counts, unpack
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,19 +41,21 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole = load(ranks, pattern)._core_bpe.encode_single_piece
         return [np.uint32(len(whole(c.encode()))).tobytes() for c in chunks]
 
-    def finish(table: Table) -> Callable[[list[bytes | None]], list[pa.Array]]:
-        pieces = np.empty(len(table.start), np.int64)
-        pieces[:] = np.frombuffer(table.data, np.uint32)[table.start // 4]
-
-        def apply(rows: list[bytes | None]) -> list[pa.Array]:
-            total, tokens = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            for i, r in enumerate(rows):
-                if r is not None:
-                    codes, counts = unpack_counts(r)
-                    total[i], tokens[i] = counts.sum(), pieces[codes] @ counts
-            null = np.array([r is None for r in rows])
+    def finish(table: Table) -> Callable[[bytes], list[pa.Array]]:
+        pieces = table.data[table.start].astype(np.int64)
+
+        def apply(packed: bytes) -> list[pa.Array]:
+            null, lens, (steps, counts) = unpack(packed)
+            total, tokens = np.zeros(len(lens), np.int64), np.zeros(len(lens), np.int64)
+            some = np.flatnonzero(lens)
+            if len(some):
+                starts = (np.cumsum(lens) - lens)[some]
+                run = np.cumsum(steps)
+                codes = run - np.repeat(run[starts] - steps[starts], lens[some])  # steps begin anew in each document
+                total[some] = np.add.reduceat(counts, starts)
+                tokens[some] = np.add.reduceat(pieces[codes] * counts, starts)
             return [pa.array(total, mask=null), pa.array(tokens, mask=null)]
 
         return apply
 
-    return chunk_join(docs, id_col, text_col, split, solve, pack_counts, finish, [("n_pretokens", "long"), ("n_tokens", "long")])
+    return chunk_join(docs, id_col, text_col, split, solve, pack_counts, finish, [("n_pretokens", "long"), ("n_tokens", "long")], np.uint32)
