@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmill.llm import fingerprints, language, near_dedup, packing, pieces, quality, token_counts, url_filter
+from siltmill.llm import fingerprints, grammar, language, near_dedup, packing, pieces, quality, token_counts, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(made, "page_id", "body", declared=F.col("told"), host=F.col("host"), model=model)
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.write_shards(_read(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_read(spark, sf_dir, "documents"), decoded=True)
 
@@ -50,6 +54,11 @@ def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
 
