@@ -1,15 +1,429 @@
-"""The library's own operators as queries, and the SQL that says what they return."""
+"""The library's own operators as queries, and the SQL that says what they return.
+
+MinHash queries use SHA-1, which SQL has too, 60 permutations in 12 bands of 5, and word 5-grams.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltmill.functions import hashing
+from siltmill.functions import text as T
+from siltmill.operators import exact, intervals, minhash, simhash, substring
+from siltmill.operators.graph import connected_components
+from siltmill.plans import evaluate, report
+
+MH = minhash.MinHash(num_perm=60, threshold=0.7, ngram=5, hash_func="sha1", bands=12, rows=5, index_column="doc_id")
+SH = simhash.SimHash(ngram=3, hash_func="sha1", index_column="doc_id")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def token_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.tokens("text")).cast("long").alias("n_tokens"))
+
+
+def ngram_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.ngram_set("text", 5)).cast("long").alias("n_ngrams"))
+
+
+def ngram_rows(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.explode(T.ngram_set("text", 5)).alias("ngram"))
+
+
+def min_length_filter(spark, sf_dir):
+    return minhash.long_enough(_docs(spark, sf_dir), MH).select("doc_id", "n_chars")
+
+
+def digests(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", *[T.digest("text", k).alias(k) for k in ("md5", "sha1", "sha256")])
+
+
+def sha1_u32(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", hashing.sha1_u32("text").alias("h"))
+
+
+def xxh3_hashes(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", hashing.hash_column("text", "xxh3", 32).alias("h32"), hashing.hash_column("text", "xxh3", 64).alias("h64"))
+
+
+def normalize_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.normalize("text").alias("normal"))
+
+
+def news_preprocess(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.news_text("text").alias("news"))
+
+
+def exact_dedup_flags(spark, sf_dir):
+    return exact.flag_copies(_docs(spark, sf_dir), index="doc_id").select("doc_id", "duplicate")
+
+
+def exact_dedup_keep(spark, sf_dir):
+    return exact.keep_first(_docs(spark, sf_dir), index="doc_id").select("doc_id", "text")
+
+
+def _long(spark, sf_dir):
+    return minhash.long_enough(_docs(spark, sf_dir), MH)
+
+
+def minhash_signature(spark, sf_dir):
+    made = _long(spark, sf_dir).select("doc_id", minhash.signature(minhash.grams(MH), MH).alias("s"))
+    return made.select("doc_id", F.posexplode("s").alias("i", "value")).select("doc_id", F.col("i").cast("long").alias("i"), "value")
+
+
+def minhash_bands(spark, sf_dir):
+    rows = minhash.band_rows(_long(spark, sf_dir), MH)
+    return rows.select(F.col("id").alias("doc_id"), F.col("band").cast("long").alias("band"), F.array_join("value", ",").alias("value"))
+
+
+def lsh_candidate_pairs(spark, sf_dir):
+    return minhash.pair_edges(minhash.band_rows(_long(spark, sf_dir), MH))
+
+
+def minhash_clusters(spark, sf_dir):
+    return minhash.clusters(_long(spark, sf_dir), MH)
+
+
+def minhash_keep(spark, sf_dir):
+    docs = _long(spark, sf_dir)
+    return minhash.remove(minhash.assign(docs, minhash.clusters(docs, MH), MH), MH).select("doc_id", "n_chars")
+
+
+def minhash_verified_clusters(spark, sf_dir):
+    docs = _long(spark, sf_dir)
+    return minhash.verified(docs, minhash.clusters(docs, MH), MH)
+
+
+def minhash_verified_keep(spark, sf_dir):
+    docs = _long(spark, sf_dir)
+    found = minhash.verified(docs, minhash.clusters(docs, MH), MH)
+    return minhash.remove(minhash.assign(docs, found, MH, flag=None), MH).select("doc_id", "n_chars")
+
+
+def minhash_report(spark, sf_dir):
+    docs = _long(spark, sf_dir)
+    return minhash.verification_report(docs, minhash.clusters(docs, MH), MH)
+
+
+def minhash_xxh3_keep(spark, sf_dir):
+    """The default hash, and bands and rows chosen for the threshold."""
+    c = replace(MH, hash_func="xxh3", bands=None, rows=None, num_perm=240)
+    docs = _long(spark, sf_dir)
+    return minhash.remove(minhash.assign(docs, minhash.clusters(docs, c), c), c).select("doc_id", "n_chars")
+
+
+def simhash_signature(spark, sf_dir):
+    return simhash.signatures(_docs(spark, sf_dir), SH).select(F.col("id").alias("doc_id"), F.col("lo").alias("signature"))
+
+
+def simhash_pairs(spark, sf_dir):
+    return simhash.near_pairs(_docs(spark, sf_dir), SH)
+
+
+def simhash_clusters(spark, sf_dir):
+    return simhash.clusters(_docs(spark, sf_dir), SH)
+
+
+def simhash_keep(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return simhash.remove(simhash.assign(docs, simhash.clusters(docs, SH), SH)).select("doc_id", "n_chars")
+
+
+def simhash_verified_clusters(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return simhash.verified(docs, simhash.clusters(docs, SH), SH)
+
+
+def simhash_verified_clusters_rootless(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return simhash.verified(docs, simhash.clusters(docs, SH), SH, with_root=False)
+
+
+def simhash_replay_clusters(spark, sf_dir):
+    return simhash.clusters(_docs(spark, sf_dir), SH, roots="replay")
+
+
+def simhash_xxh3_128_keep(spark, sf_dir):
+    c = replace(SH, hash_func="xxh3", f=128)
+    docs = _docs(spark, sf_dir)
+    return simhash.remove(simhash.assign(docs, simhash.clusters(docs, c), c)).select("doc_id", "n_chars")
+
+
+def pair_jaccard(spark, sf_dir):
+    docs = _long(spark, sf_dir)
+    sets = docs.select("doc_id", minhash.grams(MH).alias("g"))
+    pairs = minhash.pair_edges(minhash.band_rows(docs, MH))
+    both = pairs.join(sets.toDF("left", "a"), "left").join(sets.toDF("right", "b"), "right")
+    return both.select("left", "right", F.round(T.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
+
+
+def _clustered(spark, sf_dir):
+    docs = _long(spark, sf_dir)
+    return minhash.assign(docs, minhash.clusters(docs, MH), MH).select(F.col("doc_id").alias("id"), F.col("__CLUSTER__").alias("cluster"), "text")
+
+
+def cluster_jaccard(spark, sf_dir):
+    best = report.cluster_similarity(_clustered(spark, sf_dir), 5, 0.7)
+    return best.select("cluster", "id", F.round("best", 9).alias("best"), "false_positive")
+
+
+def cluster_jaccard_stats(spark, sf_dir):
+    stats = report.similarity_stats(report.cluster_similarity(_clustered(spark, sf_dir), 5, 0.7))
+    return stats.select("cluster", *[F.round(c, 9).alias(c) for c in ("mean", "least", "most", "p09", "false_positive_rate")])
+
+
+def _spans(spark, sf_dir):
+    """Spans made of the documents' lengths, which touch, hold, repeat and overlap one another."""
+    c = F.col("n_chars")
+    start = F.explode(F.array(F.lit(0), c % 7, c % 11, c % 13, c % 7)).cast("long")
+    return _docs(spark, sf_dir).select("doc_id", start.alias("start"), "n_chars").select("doc_id", "start", (F.col("start") + (F.col("n_chars") + F.col("start") * 5) % 9).cast("long").alias("stop"))
+
+
+def interval_merge_overlapping(spark, sf_dir):
+    return intervals.merge_intervals(_spans(spark, sf_dir), ["doc_id"], "overlapping")
+
+
+def interval_merge_longest(spark, sf_dir):
+    return intervals.merge_intervals(_spans(spark, sf_dir), ["doc_id"], "longest")
+
+
+def document_boundaries(spark, sf_dir):
+    return intervals.boundaries(_docs(spark, sf_dir), index="doc_id")
+
+
+def _global_spans(spark, sf_dir):
+    """For each document a span of the corpus's bytes that begins within it and mostly runs beyond."""
+    b = intervals.boundaries(_docs(spark, sf_dir), index="doc_id")
+    return b.select((F.col("begin") + F.col("doc_id") % 50).alias("start"), (F.col("begin") + F.col("doc_id") % 50 + 3000).alias("stop"))
+
+
+def span_restore(spark, sf_dir):
+    b = intervals.boundaries(_docs(spark, sf_dir), index="doc_id")
+    return intervals.restore(_global_spans(spark, sf_dir), b, "doc_id")
+
+
+def span_restore_merged(spark, sf_dir):
+    b = intervals.boundaries(_docs(spark, sf_dir), index="doc_id")
+    return intervals.restore_and_merge(_global_spans(spark, sf_dir), b, 100, "overlapping", "doc_id")
+
+
+def repeated_windows(spark, sf_dir):
+    return substring.repeated_windows(_docs(spark, sf_dir), 100, index="doc_id")
+
+
+def repeated_spans(spark, sf_dir):
+    return substring.repeated_spans(_docs(spark, sf_dir), 100, index="doc_id")
+
+
+def substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(_docs(spark, sf_dir), 100, index="doc_id").select("doc_id", "text")
+
+
+def components(spark, sf_dir):
+    """Documents of the same source and length in thousands, joined in chains."""
+    docs = _docs(spark, sf_dir)
+    key = F.concat_ws("-", "source", F.expr("cast(n_chars div 1000 as string)"))
+    group = docs.groupBy(key.alias("k")).agg(F.min("doc_id").alias("left"))
+    return connected_components(docs.withColumn("k", key).join(group, "k").select("left", F.col("doc_id").alias("right")))
+
+
+def _truth(spark, sf_dir):
+    """Copies by digest, as the known duplicates: (name, truth)."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("k"))
+    return docs.join(docs.groupBy("k").agg(F.collect_set("name").alias("all")), "k").select("name", F.array_except("all", F.array("name")).alias("truth"))
+
+
+def _compared(spark, sf_dir):
+    docs = _long(spark, sf_dir)
+    names = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("name"))
+    found = evaluate.predictions(minhash.clusters(docs, MH), names)
+    return evaluate.compare(_truth(spark, sf_dir), found)
+
+
+def eval_sets(spark, sf_dir):
+    p, r = T.set_precision(F.col("truth"), F.col("found")), T.set_recall(F.col("truth"), F.col("found"))
+    rows = _compared(spark, sf_dir).withColumn("p", p).withColumn("r", r)
+    return rows.select("name", F.size("truth").cast("long").alias("n_truth"), F.size("found").cast("long").alias("n_found"), "class", "exact", F.round("p", 9).alias("precision"), F.round("r", 9).alias("recall"), F.round(T.f1(F.col("p"), F.col("r")), 9).alias("f1"))
+
+
+def eval_summary(spark, sf_dir):
+    m = evaluate.metrics(_compared(spark, sf_dir))
+    return m.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in m.dtypes])
+
+
+def adjusted_rand(spark, sf_dir):
+    docs = _long(spark, sf_dir)
+    joined = minhash.assign(docs, minhash.clusters(docs, MH), MH)
+    return evaluate.adjusted_rand(joined.select(F.sha2("text", 256).alias("truth"), F.col("__CLUSTER__").alias("found"))).select(F.round("ari", 9).alias("ari"))
+
+
+def cluster_summary(spark, sf_dir):
+    s = report.summary(_clustered(spark, sf_dir))
+    return s.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in s.dtypes])
+
+
+def cluster_size_hist(spark, sf_dir):
+    return report.size_histogram(_clustered(spark, sf_dir))
+
+
+def cluster_size_bins(spark, sf_dir):
+    return report.size_bins(_clustered(spark, sf_dir))
+
+
+def cluster_cumulative(spark, sf_dir):
+    return report.cumulative(_clustered(spark, sf_dir))
+
+
+def cluster_quartiles(spark, sf_dir):
+    return report.quartiles(_clustered(spark, sf_dir))
+
+
+def top_clusters(spark, sf_dir):
+    return report.top_clusters(_clustered(spark, sf_dir))
+
+
+def cluster_explore(spark, sf_dir):
+    clustered = _clustered(spark, sf_dir)
+    best = report.top_clusters(clustered, 1).select("cluster")
+    mine = clustered.join(best, "cluster")
+    return mine.orderBy("id").limit(10).select("cluster", "id", F.substring("text", 1, 500).alias("preview"))
+
+
+def text_search(spark, sf_dir):
+    return report.search(_clustered(spark, sf_dir), "License")
+
+
+def cluster_compare(spark, sf_dir):
+    """The first ten members of each of the two largest clusters."""
+    clustered = _clustered(spark, sf_dir)
+    from pyspark.sql import Window
+
+    best = report.top_clusters(clustered, 2).select("cluster", "rank")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
+    return clustered.join(best, "cluster").withColumn("r", rank).where("r <= 10").select("rank", "cluster", "id", F.substring("text", 1, 500).alias("preview"))
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]'), lambda x: x <> '')"
+
+
+def _grams(n: int) -> str:
+    return f"""list_distinct(CASE WHEN len(t) < 5 THEN []::VARCHAR[] WHEN len(t) < {n} THEN [array_to_string(t, ' ')]
+ ELSE list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n} - 1], ' ')) END)"""
+
+
+def _u32(x: str) -> str:
+    return f"('0x' || substr(sha1({x}), 7, 2) || substr(sha1({x}), 5, 2) || substr(sha1({x}), 3, 2) || substr(sha1({x}), 1, 2))::UBIGINT"
+
+
+def _u64(x: str) -> str:
+    return "('0x' || " + " || ".join(f"substr(sha1({x}), {i}, 2)" for i in range(15, 0, -2)) + ")::UBIGINT"
+
+
+def _sql() -> dict[str, str]:
+    a, b = hashing.permutations(60)
+    values = ", ".join(f"({i}, {x}::HUGEINT, {y}::HUGEINT)" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())))
+    toks = f"WITH RECURSIVE tok AS (SELECT *, {_TOKENS} AS t FROM documents), gs AS (SELECT doc_id, text, n_chars, t, {_grams(5)} AS g FROM tok), lg AS (SELECT * FROM gs WHERE len(t) >= 5)"
+    sig = toks + f""", p(i, a, b) AS (VALUES {values}),
+hs AS (SELECT DISTINCT doc_id, {_u32('x')} AS h FROM (SELECT doc_id, unnest(g) AS x FROM lg)),
+sg AS (SELECT doc_id, i, min(((h::HUGEINT * a + b) % 18446744073709551616 % 2305843009213693951) % 4294967296)::BIGINT AS value FROM hs, p GROUP BY ALL)"""
+    bands = sig + ", bd AS (SELECT doc_id, i // 5 AS band, string_agg(value::VARCHAR, ',' ORDER BY i) AS value FROM sg GROUP BY ALL)"
+    pairs = bands + ", pr AS (SELECT DISTINCT x.doc_id AS l, y.doc_id AS r FROM bd x JOIN bd y ON x.band = y.band AND x.value = y.value AND x.doc_id < y.doc_id)"
+    comps = pairs + """, e AS (SELECT l AS a, r AS b FROM pr UNION SELECT r, l FROM pr),
+wk AS (SELECT a AS id, a AS n FROM e UNION SELECT wk.id, e.b FROM wk JOIN e ON wk.n = e.a),
+cl AS (SELECT id, min(n) AS cluster FROM wk GROUP BY id)"""
+    ver = comps + """, m AS (SELECT c.id, c.cluster, lg.g FROM cl c JOIN lg ON lg.doc_id = c.id),
+pj AS (SELECT x.cluster, x.id AS l, y.id AS r, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))::DOUBLE AS j
+       FROM m x JOIN m y ON x.cluster = y.cluster AND x.id < y.id),
+ok AS (SELECT DISTINCT cluster, unnest([l, r]) AS id FROM pj WHERE j >= 0.7),
+vc AS (SELECT id, min(id) OVER (PARTITION BY cluster) AS cluster FROM ok)"""
+    clustered = comps + ", ct AS (SELECT lg.doc_id AS id, coalesce(cl.cluster, lg.doc_id) AS cluster, text FROM lg LEFT JOIN cl ON cl.id = lg.doc_id), sz AS (SELECT cluster, count(*) AS size, min(id) AS first, arg_min(substr(text, 1, 100), id) AS sample FROM ct GROUP BY cluster)"
+    stok = f"WITH RECURSIVE tok AS (SELECT *, {_TOKENS} AS t FROM documents), gs AS (SELECT doc_id, n_chars, {_grams(3)} AS g FROM tok)"
+    bits = ", ".join(f"2 * sum((h >> {k}) & 1) > count(*) AS b{k}" for k in range(64))
+    join = " + ".join(f"(CASE WHEN b{k} THEN {(1 << k) if k < 63 else -(1 << 63)}::HUGEINT ELSE 0 END)" for k in range(64))
+    ssig = stok + f""", vt AS (SELECT doc_id, {bits} FROM (SELECT doc_id, {_u64('x')} AS h FROM (SELECT doc_id, unnest(g) AS x FROM gs)) GROUP BY doc_id),
+sg AS (SELECT d.doc_id, coalesce(({join})::BIGINT, 0) AS signature FROM documents d LEFT JOIN vt USING (doc_id))"""
+    spairs = ssig + ", pr AS (SELECT x.doc_id AS l, y.doc_id AS r, bit_count(xor(x.signature, y.signature))::BIGINT AS distance FROM sg x JOIN sg y ON x.doc_id < y.doc_id AND bit_count(xor(x.signature, y.signature)) <= 3)"
+    walk = """, e AS (SELECT l AS a, r AS b FROM pr UNION SELECT r, l FROM pr),
+wk AS (SELECT a AS id, a AS n FROM e UNION SELECT wk.id, e.b FROM wk JOIN e ON wk.n = e.a),
+cl AS (SELECT id, min(n) AS cluster FROM wk GROUP BY id)"""
+    scl = spairs + walk
+
+    def sver(members: str) -> str:
+        return scl + f""", mb AS ({members}), m AS (SELECT mb.id, mb.cluster, gs.g FROM mb JOIN gs ON gs.doc_id = mb.id),
+p2 AS (SELECT x.id AS l, y.id AS r, len(list_intersect(x.g, y.g)) AS s, len(x.g) + len(y.g) AS w FROM m x JOIN m y ON x.cluster = y.cluster AND x.id < y.id),
+e2 AS (SELECT l AS a, r AS b FROM p2 WHERE CASE WHEN w = 0 THEN 1.0 ELSE s / (w - s)::DOUBLE END >= 0.5 UNION SELECT r, l FROM p2 WHERE CASE WHEN w = 0 THEN 1.0 ELSE s / (w - s)::DOUBLE END >= 0.5),
+w2 AS (SELECT a AS id, a AS n FROM e2 UNION SELECT w2.id, e2.b FROM w2 JOIN e2 ON w2.n = e2.a)
+SELECT id, min(n) AS cluster FROM w2 GROUP BY id HAVING min(n) <> id"""
+
+    spans = "WITH sp AS (SELECT DISTINCT doc_id, start, start + (n_chars + start * 5) % 9 AS stop FROM (SELECT doc_id, n_chars, unnest([0, n_chars % 7, n_chars % 11, n_chars % 13, n_chars % 7]) AS start FROM documents)), rk AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp)"
+    bound = "WITH bd AS (SELECT doc_id, (sum(n) OVER (ORDER BY doc_id))::BIGINT - n AS begin_, (sum(n) OVER (ORDER BY doc_id))::BIGINT AS end_ FROM (SELECT doc_id, strlen(text)::BIGINT AS n FROM documents)), sp AS (SELECT begin_ + doc_id % 50 AS start, begin_ + doc_id % 50 + 3000 AS stop FROM bd), cut AS (SELECT doc_id, greatest(start, begin_) - begin_ AS start, least(stop, end_) - begin_ AS stop FROM sp JOIN bd ON start < end_ AND stop > begin_)"
+    truth = ", dg AS (SELECT doc_id::VARCHAR AS name, sha256(text) AS k FROM documents), tr AS (SELECT x.name, list_distinct(list(y.name) FILTER (WHERE y.name <> x.name)) AS truth FROM dg x JOIN dg y USING (k) GROUP BY x.name), fd AS (SELECT x.id::VARCHAR AS name, list(y.id::VARCHAR) AS found FROM cl x JOIN cl y ON x.cluster = y.cluster AND x.id <> y.id GROUP BY x.id), ev AS (SELECT name, coalesce(truth, []) AS truth, coalesce(found, []) AS found, len(list_intersect(coalesce(truth, []), coalesce(found, []))) AS s FROM tr LEFT JOIN fd USING (name)), cp AS (SELECT *, CASE WHEN len(found) = 0 AND len(truth) = 0 THEN 'TN' WHEN len(found) = 0 THEN 'FN' WHEN len(truth) > 0 AND s = len(truth) THEN 'TP' ELSE 'FP' END AS class, len(truth) = len(found) AND s = len(truth) AS exact FROM ev)"
+    pr = "CASE WHEN len(found) = 0 THEN 0.0 ELSE s / len(found)::DOUBLE END"
+    rc = "CASE WHEN len(truth) = 0 THEN 1.0 ELSE s / len(truth)::DOUBLE END"
+    share = lambda x, y: f"CASE WHEN {x} + {y} = 0 THEN 0.0 ELSE {x} / ({x} + {y})::DOUBLE END"
+    best = ", bs AS (SELECT x.cluster, x.id, max(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))::DOUBLE) AS best FROM m x JOIN m y ON x.cluster = y.cluster AND x.id <> y.id GROUP BY ALL)"
+    norm = r"regexp_replace(regexp_replace(lower(regexp_replace(text, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g')), '\p{Nd}', '0', 'g'), '[\p{P}\p{C}\p{S}]+', '', 'g')"
+    signs = T.NEWS_SIGNS.replace("'", "''")
+    return {
+        "token_count": toks + " SELECT doc_id, len(t) AS n_tokens FROM tok",
+        "ngram_count": toks + " SELECT doc_id, len(g) AS n_ngrams FROM gs",
+        "ngram_rows": toks + " SELECT doc_id, unnest(g) AS ngram FROM gs",
+        "min_length_filter": toks + " SELECT doc_id, n_chars FROM lg",
+        "digests": "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents",
+        "sha1_u32": f"SELECT doc_id, {_u32('text')}::BIGINT AS h FROM documents",
+        "normalize_text": f"SELECT doc_id, {norm} AS normal FROM documents",
+        "news_preprocess": rf"SELECT doc_id, regexp_replace(translate(replace(replace(text, '-' || chr(10), ''), chr(10), ' '), '{signs}', ''), '[^\x00-\x7F]', '', 'g') AS news FROM documents",
+        "exact_dedup_flags": "SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS duplicate FROM documents",
+        "exact_dedup_keep": "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text",
+        "minhash_signature": sig + " SELECT doc_id, i::BIGINT AS i, value FROM sg",
+        "minhash_bands": bands + " SELECT doc_id, band::BIGINT AS band, value FROM bd",
+        "lsh_candidate_pairs": pairs + ' SELECT l AS "left", r AS "right" FROM pr',
+        "minhash_clusters": comps + " SELECT id, cluster FROM cl",
+        "minhash_keep": comps + " SELECT doc_id, n_chars FROM lg LEFT JOIN cl ON cl.id = lg.doc_id WHERE cluster IS NULL OR cluster = doc_id",
+        "minhash_verified_clusters": ver + " SELECT id, cluster FROM vc",
+        "minhash_verified_keep": ver + " SELECT doc_id, n_chars FROM lg LEFT JOIN vc ON vc.id = lg.doc_id WHERE cluster IS NULL OR cluster = doc_id",
+        "minhash_report": ver + " SELECT (SELECT count(DISTINCT cluster) FROM cl) AS clusters, (SELECT count(*) FROM pj) AS candidate_pairs, (SELECT count(*) FROM cl) - (SELECT count(*) FROM vc) AS false_positives, (SELECT count(*) FROM vc) AS true_positives, (SELECT count(DISTINCT cluster) FROM vc) AS true_clusters",
+        "simhash_signature": ssig + " SELECT doc_id, signature FROM sg",
+        "simhash_pairs": spairs + ' SELECT l AS "left", r AS "right", distance FROM pr',
+        "simhash_clusters": scl + " SELECT id, cluster FROM cl WHERE id <> cluster",
+        "simhash_keep": scl + " SELECT doc_id, n_chars FROM documents LEFT JOIN cl ON cl.id = doc_id WHERE cluster IS NULL OR cluster = doc_id",
+        "simhash_verified_clusters": sver("SELECT id, cluster FROM cl"),
+        "simhash_verified_clusters_rootless": sver("SELECT id, cluster FROM cl WHERE id <> cluster"),
+        "pair_jaccard": pairs + ' SELECT l AS "left", r AS "right", round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))::DOUBLE, 9) AS jaccard FROM pr JOIN lg x ON x.doc_id = l JOIN lg y ON y.doc_id = r',
+        "cluster_jaccard": ver + best + " SELECT cluster, id, round(best, 9) AS best, best < 0.7 AS false_positive FROM bs",
+        "cluster_jaccard_stats": ver + best + " SELECT cluster, round(avg(best), 9) AS mean, round(min(best), 9) AS least, round(max(best), 9) AS most, round(quantile_cont(best, 0.009), 9) AS p09, round(avg((best < 0.7)::INT), 9) AS false_positive_rate FROM bs GROUP BY cluster",
+        "interval_merge_overlapping": spans + ", g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS UNBOUNDED PRECEDING) AS k FROM rk) SELECT doc_id, min(start) AS start, max(stop) AS stop FROM g GROUP BY doc_id, k",
+        "interval_merge_longest": spans + " SELECT doc_id, start, stop FROM rk WHERE reach IS NULL OR stop > reach",
+        "document_boundaries": bound + ' SELECT doc_id, begin_ AS "begin", end_ AS "end" FROM bd',
+        "span_restore": bound + " SELECT doc_id, start, stop FROM cut",
+        "span_restore_merged": bound + ", rk AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT * FROM cut WHERE stop - start >= 100)), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS UNBOUNDED PRECEDING) AS k FROM rk) SELECT doc_id, min(start) AS start, max(stop) AS stop FROM g GROUP BY doc_id, k",
+        "components": "WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, n_chars // 1000) AS component, count(*) OVER (PARTITION BY source, n_chars // 1000) AS n FROM documents) SELECT doc_id AS id, component FROM k WHERE n > 1",
+        "eval_sets": comps + truth + f", v AS (SELECT *, {pr} AS p, {rc} AS r FROM cp) SELECT name, len(truth) AS n_truth, len(found) AS n_found, class, exact, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM v",
+        "eval_summary": comps + truth + f", c AS (SELECT count(*) FILTER (WHERE class = 'TP') AS tp, count(*) FILTER (WHERE class = 'FP') AS fp, count(*) FILTER (WHERE class = 'TN') AS tn, count(*) FILTER (WHERE class = 'FN') AS fn, avg(exact::INT) AS accuracy FROM cp), d AS (SELECT *, {share('tp', 'fp')} AS a, {share('tp', 'fn')} AS b, {share('tn', 'fn')} AS c, {share('tn', 'fp')} AS d FROM c) SELECT tp, fp, tn, fn, round(accuracy, 9) AS accuracy, round(a, 9) AS precision_dup, round(b, 9) AS recall_dup, round(c, 9) AS precision_non, round(d, 9) AS recall_non, round((a + c) / 2, 9) AS macro_precision FROM d",
+        "adjusted_rand": clustered + ", cell AS (SELECT sha256(text) AS t, cluster AS f, count(*) AS n FROM ct GROUP BY ALL), q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cell) AS s, (SELECT sum(n) FROM cell) AS n, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM cell GROUP BY t)) AS a, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM cell GROUP BY f)) AS b) SELECT round((s - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 9) AS ari FROM q",
+        "cluster_summary": clustered + " SELECT sum(size)::BIGINT AS records, count(*) AS clusters, count(*) FILTER (WHERE size = 1) AS unique_records, count(*) FILTER (WHERE size > 1) AS duplicate_clusters, (sum(size) FILTER (WHERE size > 1))::BIGINT AS duplicate_records, round(avg(size), 9) AS mean_size, max(size) AS max_size, min(size) AS min_size, round((sum(size) - count(*)) / sum(size)::DOUBLE, 9) AS removed_rate FROM sz",
+        "cluster_size_hist": clustered + " SELECT size, count(*) AS frequency FROM sz GROUP BY size",
+        "cluster_size_bins": clustered + " SELECT 1 + (k - 1) * 10 AS low, 1 + k * 10 AS high, count(*) AS clusters FROM (SELECT ceil((size - 1) / 10.0)::BIGINT AS k FROM sz WHERE size > 1) GROUP BY k",
+        "cluster_cumulative": clustered + " SELECT size, (sum(count(*)) OVER (ORDER BY size))::BIGINT AS clusters FROM sz GROUP BY size",
+        "cluster_quartiles": clustered + " SELECT quantile_cont(size, 0.0) AS least, quantile_cont(size, 0.25) AS q1, quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.75) AS q3, quantile_cont(size, 1.0) AS most FROM sz",
+        "top_clusters": clustered + " SELECT row_number() OVER (ORDER BY size DESC, first) AS rank, cluster, size, sample FROM sz ORDER BY size DESC, first LIMIT 20",
+        "cluster_explore": clustered + " SELECT cluster, id, substr(text, 1, 500) AS preview FROM ct WHERE cluster = (SELECT cluster FROM sz ORDER BY size DESC, first LIMIT 1) ORDER BY id LIMIT 10",
+        "text_search": clustered + " SELECT id, cluster, size, substr(text, 1, 200) AS preview FROM ct JOIN sz USING (cluster) WHERE contains(lower(text), 'license') ORDER BY id LIMIT 20",
+        "cluster_compare": clustered + ", b AS (SELECT cluster, row_number() OVER (ORDER BY size DESC, first) AS rank FROM sz ORDER BY size DESC, first LIMIT 2) SELECT rank, cluster, id, substr(text, 1, 500) AS preview FROM ct JOIN b USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY id) <= 10",
+    }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    names = [*_sql(), "xxh3_hashes", "minhash_xxh3_keep", "simhash_replay_clusters", "simhash_xxh3_128_keep", "repeated_windows", "repeated_spans", "substring_dedup"]
+    return {name: globals()[name] for name in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _sql()
