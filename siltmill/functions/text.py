@@ -21,13 +21,13 @@ def ngrams(words: Column, n: int, min_length: int = 5) -> Column:
     none = F.array().cast("array<string>")
     if n == 0:
         return F.when(words.isNotNull(), none)
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return (
-        F.when(words.isNull(), F.lit(None).cast("array<string>"))
-        .when(F.size(words) < min_length, none)
-        .when(F.size(words) < n, F.array(F.array_join(words, " ")))
-        .otherwise(runs)
-    )
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) < min_length, none).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(each)
+
+    # a lambda's variable holds the words, which would else be made again for every run
+    return F.when(words.isNotNull(), F.transform(F.array(words), runs)[0])
 
 
 def ngram_set(text: Column | str, n: int, min_length: int = 5, flavour: str = "minhash") -> Column:

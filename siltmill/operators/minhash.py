@@ -51,17 +51,17 @@ def grams(c: MinHash) -> Column:
     return T.ngram_set(c.text_column, c.ngram, c.min_length)
 
 
-def signature(ngrams: Column, c: MinHash) -> Column:
-    """array<long>: for each permutation the least value of all n-grams, the largest there is for none."""
+def signatures(df: DataFrame, c: MinHash) -> DataFrame:
+    """(id, s): for each permutation the least value of all n-grams, the largest there is for none."""
     a, b = hashing.permutations(c.num_perm, c.hash_bits, c.seed)
     one = hashing.hash_text(c.hash_func, min(c.hash_bits, 32))
     bits, top = c.hash_bits, hashing.RINGS[c.hash_bits][1]
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for col in batches:
-            for at in range(0, len(col), 500):
-                part = col.slice(at, 500)
-                valid = np.array(part.is_valid())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                ids, part = batch.slice(at, 500).columns
+                valid = np.array(part.is_valid(), bool)
                 count = np.array(part.value_lengths().fill_null(0), np.int64)
                 flat = part.flatten().to_pylist()
                 h = np.fromiter((one(x.encode()) for x in flat), np.uint64, len(flat))
@@ -69,22 +69,20 @@ def signature(ngrams: Column, c: MinHash) -> Column:
                 some = np.flatnonzero(count)
                 if len(some):
                     out[some] = hashing.permuted_minima(h, (np.cumsum(count) - count)[some], a, b, bits)
-                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(a), mask=np.append(~valid, False))
-                yield pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(a))
+                lists = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, lists], ["id", "s"]).filter(pa.array(valid))
 
-    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for col in batches:
-            yield pa.concat_arrays(list(run(iter([col])))) if len(col) else pa.array([], pa.list_(pa.int64()))
-
-    return F.arrow_udf(whole, "array<long>")(ngrams)
+    kind = df.schema[c.index_column].dataType.simpleString()
+    made = df.select(F.col(c.index_column).alias("id"), grams(c).alias("g"))
+    return made.mapInArrow(run, f"id {kind}, s array<long>")
 
 
 def band_rows(df: DataFrame, c: MinHash) -> DataFrame:
     """(id, band, value): a row for each document and band; value is the band's part of the signature."""
     bands, rows = c.shape
-    sig = df.select(F.col(c.index_column).alias("id"), signature(grams(c), c).alias("s"))
     each = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.slice("s", i * rows + 1, rows))
-    return sig.select("id", F.posexplode(each).alias("band", "value"))
+    return signatures(df, c).select("id", F.posexplode(each).alias("band", "value"))
 
 
 def pair_edges(bands: DataFrame) -> DataFrame:

@@ -43,17 +43,18 @@ def grams(c: SimHash) -> Column:
     return T.ngram_set(c.text_column, c.ngram, c.min_length, "simhash")
 
 
-def signature(ngrams: Column, c: SimHash) -> Column:
-    """struct<hi, lo>: the bits that more than half of the n-grams' hashes set; zero for no n-grams.
+def signatures(df: DataFrame, c: SimHash) -> DataFrame:
+    """(id, hi, lo): the bits that more than half of the n-grams' hashes set; zero for no n-grams.
 
-    hi is 0 where f is 64. A null list gives null.
+    hi is 0 where f is 64. A null text has no row.
     """
     one, width = hashing.hash_text(c.hash_func, c.f), c.f // 8
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for col in batches:
-            valid = np.array(col.is_valid(), bool)
-            count = np.array(col.value_lengths().fill_null(0), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            ids, col = batch.columns
+            count = np.array(col.value_lengths(), np.int64)
             raw = b"".join(one(x.encode()).to_bytes(width, "big") for x in col.flatten().to_pylist())
             bytes_ = np.frombuffer(raw, np.uint8).reshape(-1, width)
             out = np.zeros((len(col), width), np.uint8)
@@ -62,16 +63,12 @@ def signature(ngrams: Column, c: SimHash) -> Column:
                 ones = np.unpackbits(bytes_[ends[i] - count[i] : ends[i]], axis=1).sum(0, dtype=np.int64)
                 out[i] = np.packbits(2 * ones > count[i])
             halves = out.view(">i8").astype(np.int64)
-            hi = halves[:, 0] if width == 16 else np.zeros(len(col), np.int64)
-            yield pa.StructArray.from_arrays([pa.array(hi), pa.array(halves[:, -1])], ["hi", "lo"], mask=pa.array(~valid))
-
-    return F.arrow_udf(run, "struct<hi:bigint,lo:bigint>")(ngrams)
+            hi = halves[:, 0].copy() if width == 16 else np.zeros(len(col), np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(hi), pa.array(halves[:, -1].copy())], ["id", "hi", "lo"])
 
-
-def signatures(df: DataFrame, c: SimHash) -> DataFrame:
-    """(id, hi, lo)."""
-    made = df.select(F.col(c.index_column).alias("id"), signature(grams(c), c).alias("s"))
-    return made.where(F.col("s").isNotNull()).select("id", "s.hi", "s.lo")
+    kind = df.schema[c.index_column].dataType.simpleString()
+    made = df.select(F.col(c.index_column).alias("id"), grams(c).alias("g"))
+    return made.mapInArrow(run, f"id {kind}, hi long, lo long")
 
 
 def _signed(x: int) -> int:

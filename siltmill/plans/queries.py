@@ -1,6 +1,6 @@
 """The library's own operators as queries, and the SQL that says what they return.
 
-MinHash queries use SHA-1, which SQL has too, 60 permutations in 12 bands of 5, and word 5-grams.
+MinHash queries use SHA-1, which SQL has too, 32 permutations in 8 bands of 4, and word 5-grams.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from siltmill.operators import exact, intervals, minhash, simhash, substring
 from siltmill.operators.graph import connected_components
 from siltmill.plans import evaluate, report
 
-MH = minhash.MinHash(num_perm=60, threshold=0.7, ngram=5, hash_func="sha1", bands=12, rows=5, index_column="doc_id")
+MH = minhash.MinHash(num_perm=32, threshold=0.7, ngram=5, hash_func="sha1", bands=8, rows=4, index_column="doc_id")
 SH = simhash.SimHash(ngram=3, hash_func="sha1", index_column="doc_id")
 
 
@@ -74,8 +74,8 @@ def _long(spark, sf_dir):
 
 
 def minhash_signature(spark, sf_dir):
-    made = _long(spark, sf_dir).select("doc_id", minhash.signature(minhash.grams(MH), MH).alias("s"))
-    return made.select("doc_id", F.posexplode("s").alias("i", "value")).select("doc_id", F.col("i").cast("long").alias("i"), "value")
+    made = minhash.signatures(_long(spark, sf_dir), MH).select(F.col("id").alias("doc_id"), F.posexplode("s").alias("i", "value"))
+    return made.select("doc_id", F.col("i").cast("long").alias("i"), "value")
 
 
 def minhash_bands(spark, sf_dir):
@@ -182,7 +182,7 @@ def cluster_jaccard_stats(spark, sf_dir):
 def _spans(spark, sf_dir):
     """Spans made of the documents' lengths, which touch, hold, repeat and overlap one another."""
     c = F.col("n_chars")
-    start = F.explode(F.array(F.lit(0), c % 7, c % 11, c % 13, c % 7)).cast("long")
+    start = F.explode(F.array(F.lit(0).cast("long"), c % 7, c % 11, c % 13, c % 7))
     return _docs(spark, sf_dir).select("doc_id", start.alias("start"), "n_chars").select("doc_id", "start", (F.col("start") + (F.col("n_chars") + F.col("start") * 5) % 9).cast("long").alias("stop"))
 
 
@@ -327,13 +327,13 @@ def _u64(x: str) -> str:
 
 
 def _sql() -> dict[str, str]:
-    a, b = hashing.permutations(60)
+    a, b = hashing.permutations(32)
     values = ", ".join(f"({i}, {x}::HUGEINT, {y}::HUGEINT)" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())))
     toks = f"WITH RECURSIVE tok AS (SELECT *, {_TOKENS} AS t FROM documents), gs AS (SELECT doc_id, text, n_chars, t, {_grams(5)} AS g FROM tok), lg AS (SELECT * FROM gs WHERE len(t) >= 5)"
     sig = toks + f""", p(i, a, b) AS (VALUES {values}),
 hs AS (SELECT DISTINCT doc_id, {_u32('x')} AS h FROM (SELECT doc_id, unnest(g) AS x FROM lg)),
 sg AS (SELECT doc_id, i, min(((h::HUGEINT * a + b) % 18446744073709551616 % 2305843009213693951) % 4294967296)::BIGINT AS value FROM hs, p GROUP BY ALL)"""
-    bands = sig + ", bd AS (SELECT doc_id, i // 5 AS band, string_agg(value::VARCHAR, ',' ORDER BY i) AS value FROM sg GROUP BY ALL)"
+    bands = sig + ", bd AS (SELECT doc_id, i // 4 AS band, string_agg(value::VARCHAR, ',' ORDER BY i) AS value FROM sg GROUP BY ALL)"
     pairs = bands + ", pr AS (SELECT DISTINCT x.doc_id AS l, y.doc_id AS r FROM bd x JOIN bd y ON x.band = y.band AND x.value = y.value AND x.doc_id < y.doc_id)"
     comps = pairs + """, e AS (SELECT l AS a, r AS b FROM pr UNION SELECT r, l FROM pr),
 wk AS (SELECT a AS id, a AS n FROM e UNION SELECT wk.id, e.b FROM wk JOIN e ON wk.n = e.a),
