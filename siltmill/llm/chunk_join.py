@@ -58,13 +58,29 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return x
 
 
-def pack_sequences(docs: list[np.ndarray | None]) -> bytes:
-    """Some documents' codes in order; None stays apart from a document without chunks."""
+def pack_sequences(docs: list[np.ndarray | None], single: int) -> bytes:
+    """Some documents' codes in order; None stays apart from a document without chunks.
+
+    Codes from single on occur once in their block, and are numbered as they come; so they are all
+    written as 0, beside the first of them."""
     lens = np.array([0 if d is None else len(d) + 1 for d in docs], np.int64)
-    return _frames([pack_numbers(lens), pack_numbers(np.concatenate([d for d in docs if d is not None] or [lens[:0]]))])
+    codes = np.concatenate([d for d in docs if d is not None] or [lens[:0]])
+    alone = codes >= single
+    first = codes[alone][:1]
+    return _frames([pack_numbers(lens), pack_numbers(np.where(alone, 0, codes + 1)), pack_numbers(first)])
+
+
+def unpack_sequences(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which documents are null, their lengths, the codes of all)."""
+    null, lens, (codes, first) = unpack(data)
+    alone = codes == 0
+    codes = codes - 1
+    if len(first):
+        codes[alone] = first[0] + np.arange(int(alone.sum()))
+    return null, lens, codes
 
 
-def pack_counts(docs: list[np.ndarray | None]) -> bytes:
+def pack_counts(docs: list[np.ndarray | None], single: int) -> bytes:
     """Some documents' distinct codes, as steps, and how often each occurs."""
     lens, keys, counts = [], [], []
     for d in docs:
@@ -135,7 +151,7 @@ def chunk_join(
     text_col: str,
     split: Callable[[str], list[str]],
     solve: Callable[[list[str]], list[bytes]],
-    pack: Callable[[list[np.ndarray | None]], bytes],
+    pack: Callable[[list[np.ndarray | None], int], bytes],
     finish: Callable[[Table], Callable[[bytes], list[pa.Array]]],
     out: list[tuple[str, str]],
     dtype: type,
@@ -162,6 +178,7 @@ def chunk_join(
             freq = np.bincount(np.concatenate([a for _, a, _ in held]), minlength=len(codes)) if len(codes) else np.empty(0, np.int64)
             rank = np.empty(len(codes), np.int64)
             rank[np.argsort(-freq, kind="stable")] = np.arange(len(codes))
+            single = int((freq > 1).sum())
             chunks = list(codes)
             buckets = np.fromiter((crc32(c.encode()) for c in chunks), np.int64, len(chunks)) % BUCKETS
             rows = list(_requests(chunks, rank, buckets))
@@ -181,7 +198,7 @@ def chunk_join(
                 n = len(cuts) - 1
                 seqs = np.arange(seq, seq + n)
                 seq += n
-                data = [pack(docs[a:b]) for a, b in zip(cuts, cuts[1:])]
+                data = [pack(docs[a:b], single) for a, b in zip(cuts, cuts[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, 2, np.int32)), pa.array((task * 7919 + seqs) % BUCKETS), pa.array(np.full(n, block)), pa.array(seqs), lists, pa.array(data, pa.binary())], NAMES

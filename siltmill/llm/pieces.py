@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmill.llm.chunk_join import Table, chunk_join, pack_sequences, unpack
+from siltmill.llm.chunk_join import Table, chunk_join, pack_sequences, unpack_sequences
 from siltmill.llm.text import ragged
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -108,7 +108,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         spelled = piece_bytes(model) if decoded else None
 
         def apply(packed: bytes) -> list[pa.Array]:
-            null, lens, (codes,) = unpack(packed)
+            null, lens, codes = unpack_sequences(packed)
             sizes = table.size[codes]
             flat = table.data[ragged(table.start[codes], sizes)]
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lens)]
