@@ -219,4 +219,4 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = identify(docs, id_col, text_col, **how)
     kept = found.where("keep").select(F.col(id_col).alias("kept_"))
-    return docs.join(kept, docs[id_col] == F.col("kept_"), "left_semi")
+    return docs.join(kept, docs[id_col] == kept["kept_"], "left_semi")
