@@ -41,14 +41,17 @@ def tokenize(texts: list[str | None], ranks: str, pattern: str) -> tuple[np.ndar
 def compress(seq: np.ndarray, counts: np.ndarray, base: int, symbols: int = SYMBOLS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, how many each document has, rules): rule k is the pair that symbol base + k stands for."""
     seq = seq.astype(np.uint64)
-    docs = len(counts)
-    owner = np.repeat(np.arange(docs, dtype=np.int32), counts)
+    sizes = counts.astype(np.int64)
     rules: list[np.ndarray] = []
-    made = 0
+    made, none = 0, np.uint64((1 << 64) - 1)
     while made < symbols - base and len(seq) > 1:
-        keys = seq[:-1] << np.uint64(32) | seq[1:]
-        inside = owner[:-1] == owner[1:]
-        order = np.sort(keys[inside])
+        keys = seq[:-1] << np.uint64(32)
+        keys |= seq[1:]
+        ends = np.cumsum(sizes)
+        across = ends[sizes > 0][:-1] - 1  # pairs that would cross into the next document
+        keys[across] = none
+        order = np.sort(keys)
+        order = order[: len(order) - len(across)]
         if not len(order):
             break
         firsts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
@@ -69,7 +72,7 @@ def compress(seq: np.ndarray, counts: np.ndarray, base: int, symbols: int = SYMB
         at = ((keys * _FACTOR) >> bits).view(np.int64)
         full = np.zeros(size, bool)
         full[slots] = True
-        there = np.flatnonzero(full[at] & inside)
+        there = np.flatnonzero(full[at])
         slot = at[there]
         same = key_in[slot] == keys[there]
         there, slot = there[same], slot[same]
@@ -93,12 +96,13 @@ def compress(seq: np.ndarray, counts: np.ndarray, base: int, symbols: int = SYMB
         stays = np.ones(len(seq), bool)
         stays[keep + 1] = False
         gain = len(keep) / len(seq)
-        seq, owner = seq[stays], owner[stays]
+        sizes = sizes - np.bincount(np.searchsorted(ends, keep, "right"), minlength=len(sizes))
+        seq = seq[stays]
         if gain < 0.002:
             break
     pairs = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     table = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-    return seq.astype(np.uint32), np.bincount(owner, minlength=docs), table
+    return seq.astype(np.uint32), sizes, table
 
 
 def expansions(rules: np.ndarray, base: int) -> np.ndarray:
