@@ -177,9 +177,12 @@ def identify(
     # the text's own posterior for every row is what the counts below add up
     top = F.array_max("ll")
     e = F.transform("ll", lambda x: F.exp(x - top))
-    soft = light.select("declared", "host", "domain", "suffix", F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)).alias("c"), (F.array_min("ll") < 0).alias("says"))
+    share = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    # a text that says nothing counts nothing, but its host still gets a prior, its parents'
+    silent = F.array(*[F.lit(0.0)] * n)
+    soft = light.select("declared", "host", "domain", "suffix", F.when(F.array_min("ll") < 0, share).otherwise(silent).alias("c"))
     keys = ["suffix", "domain", "host", "declared"]
-    by = soft.where("says").groupBy(*keys).agg(*[F.sum(F.col("c")[i]).alias(f"s{i}") for i in range(n)])
+    by = soft.groupBy(*keys).agg(*[F.sum(F.col("c")[i]).alias(f"s{i}") for i in range(n)])
     counts = written(by.select(*keys, F.array(*[f"s{i}" for i in range(n)]).alias("c")))
     all_ = _shares(counts, [], None, n)
     suffixes = _shares(counts, ["suffix"], all_, n)
@@ -191,7 +194,7 @@ def identify(
     # P(declared | language), with one row of every declaration in the table's own proportion
     whole = sum((F.col(f"s{i}") for i in range(n)), F.lit(0.0))
     overall = sum((F.coalesce(F.col(f"t{i}"), F.lit(0.0)) for i in range(n)), F.lit(0.0))
-    said = told.crossJoin(sums).select(
+    said = told.where(whole > 0).crossJoin(sums).select(
         "declared", F.array(*[F.log((F.col(f"s{i}") + whole / overall) / (F.coalesce(F.col(f"t{i}"), F.lit(0.0)) + 1.0)) for i in range(n)]).alias("d")
     )
     prior = F.coalesce(F.col("hp"), F.col("ap"), F.array(*[F.lit(1.0 / n)] * n))

@@ -65,20 +65,21 @@ class Classifier:
     def _words(self, rows: np.ndarray) -> np.ndarray:
         return np.concatenate([t[rows[:, k]] for k, t in enumerate(self.tables)], 1)
 
-    def _padded(self, codes: np.ndarray, counts: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes with max(WIDTHS) - 1 blanks after each text, and the texts' starts."""
+    def _padded(self, codes: np.ndarray, counts: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes with max(WIDTHS) - 1 blanks after each text, the texts' starts, and the blanks' places."""
         gap = max(WIDTHS) - 1
         starts = np.cumsum(counts + gap) - counts - gap
         wide = np.full(int((counts + gap).sum()), none, np.int64)
         wide[np.arange(len(codes)) + np.repeat(np.arange(len(counts)) * gap, counts)] = codes
-        return wide, starts
+        return wide, starts, ((starts + counts)[:, None] + np.arange(gap)).ravel()
 
-    def _conv(self, x: np.ndarray, k: int) -> np.ndarray:
-        """Values of the k-th width's filters at each place; places past the end are blanks."""
+    def _conv(self, x: np.ndarray, k: int, blank: np.ndarray) -> np.ndarray:
+        """Values of the k-th width's filters at each place, 0 at blanks; places past the end are blanks."""
         f = self.filters[k]
         out = x @ f[0]
         for j in range(1, len(f)):
             out[:-j] += x[j:] @ f[j]
+        out[blank] = 0  # else a text's blanks would see the next text
         return out
 
     def scores(self, codes: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -92,9 +93,9 @@ class Classifier:
             first = ends[some[at]] - counts[some[at]]
             to = at + max(1, int(np.searchsorted(ends[some[at:]], first + 30_000)))
             part = some[at:to]
-            wide, starts = self._padded(codes[first : ends[part[-1]]], counts[part], len(rows))
+            wide, starts, blank = self._padded(codes[first : ends[part[-1]]], counts[part], len(rows))
             x = words[wide]
-            top = np.concatenate([np.maximum.reduceat(self._conv(x, k), starts, axis=0) for k in range(len(WIDTHS))], 1)
+            top = np.concatenate([np.maximum.reduceat(self._conv(x, k, blank), starts, axis=0) for k in range(len(WIDTHS))], 1)
             z = np.maximum(top, 0) @ self.out + self.bias
             out[part] = 1 / (1 + np.exp(-z.astype(np.float64)))
             at = to
@@ -120,12 +121,12 @@ class Classifier:
                 uniq, inv = np.unique(local, return_inverse=True)
                 r = rows[uniq]
                 words = np.concatenate([self._words(r), np.zeros((1, TABLES * PART), np.float32)])
-                wide, starts = self._padded(inv, counts[batch], len(uniq))
+                wide, starts, blank = self._padded(inv, counts[batch], len(uniq))
                 x = words[wide]
                 ends = np.append(starts[1:], len(wide))
                 tops, places = [], []
                 for k in range(len(WIDTHS)):
-                    c = self._conv(x, k)
+                    c = self._conv(x, k, blank)
                     best = np.stack([c[a:b].argmax(0) + a for a, b in zip(starts, ends)])
                     places.append(best)
                     tops.append(np.take_along_axis(c, best, 0))
