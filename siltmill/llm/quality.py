@@ -20,10 +20,11 @@ from siltmill.llm.text import Codes, words
 
 #: A repeat counts from so many words.
 MIN_WORDS = 8
-#: Of a text's characters (without white space), repeats may cover so large a part,
-MAX_COVERED = 0.5
-#: and the longest one so large a part.
-MAX_LONGEST = 0.3
+#: Of a text's characters (without white space), repeats may cover so large a part. A short text whose
+#: heading comes back as its last line reaches 0.75, and is kept, as labelled rows of good quality are.
+MAX_COVERED = 0.8
+#: The longest repeat may be so large a part.
+MAX_LONGEST = 0.45
 #: A run without white space that is longer than this counts as a word for each character.
 LONG_WORD = 64
 
