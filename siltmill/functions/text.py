@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,19 @@ def ngram_set(text: Column | str, n: int, min_length: int = 5, flavour: str = "m
     return F.array_distinct(ngrams(tokens(text, flavour), n, min_length))
 
 
+_WORDS = {"minhash": regex.compile(r"\w+"), "simhash": re.compile(r"\w+")}
+
+
+def word_runs(text: str, n: int, min_length: int = 5, flavour: str = "minhash") -> dict[str, None]:
+    """ngram_set() in Python, for functions that hash the n-grams there; a dict for its order."""
+    words = _WORDS[flavour].findall(text.lower())
+    if len(words) < min_length or n == 0:
+        return {}
+    if len(words) < n:
+        return {" ".join(words): None}
+    return dict.fromkeys(words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)))))
+
+
 def digest(data: Column | str, kind: str = "md5", raw: bool = False) -> Column:
     """MD5, SHA-1 or SHA-256, as hex or as bytes."""
     made = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}[kind](data)

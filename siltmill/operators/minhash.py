@@ -57,14 +57,17 @@ def signatures(df: DataFrame, c: MinHash) -> DataFrame:
     one = hashing.hash_text(c.hash_func, min(c.hash_bits, 32))
     bits, top = c.hash_bits, hashing.RINGS[c.hash_bits][1]
 
+    n, least = c.ngram, c.min_length
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, part = batch.slice(at, 500).columns
                 valid = np.array(part.is_valid(), bool)
-                count = np.array(part.value_lengths().fill_null(0), np.int64)
-                flat = part.flatten().to_pylist()
-                h = np.fromiter((one(x.encode()) for x in flat), np.uint64, len(flat))
+                # the same n-grams as T.ngram_set() gives, made where they are hashed
+                sets = [T.word_runs(t, n, least, "minhash") if t is not None else () for t in part.to_pylist()]
+                count = np.fromiter(map(len, sets), np.int64, len(sets))
+                h = np.fromiter((one(x.encode()) for g in sets for x in g), np.uint64, int(count.sum()))
                 out = np.full((len(part), len(a)), top, np.int64)
                 some = np.flatnonzero(count)
                 if len(some):
@@ -74,7 +77,7 @@ def signatures(df: DataFrame, c: MinHash) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, lists], ["id", "s"]).filter(pa.array(valid))
 
     kind = df.schema[c.index_column].dataType.simpleString()
-    made = df.select(F.col(c.index_column).alias("id"), grams(c).alias("g"))
+    made = df.select(F.col(c.index_column).alias("id"), F.col(c.text_column).alias("text"))
     return made.mapInArrow(run, f"id {kind}, s array<long>")
 
 
@@ -110,6 +113,12 @@ def assign(df: DataFrame, found: DataFrame, c: MinHash, flag: str | None = "__du
     return (out.withColumn(flag, F.col("cluster").isNotNull()) if flag else out).drop("cluster")
 
 
+def _members(df: DataFrame, found: DataFrame, c: MinHash) -> DataFrame:
+    """(id, cluster, g): the n-gram sets of clustered documents only."""
+    texts = df.select(F.col(c.index_column).alias("id"), c.text_column).join(found, "id")
+    return texts.select("id", "cluster", F.array_sort(grams(c)).alias("g"))
+
+
 def matches(df: DataFrame, found: DataFrame, c: MinHash, threshold: float | None = None) -> DataFrame:
     """(cluster, left, right, jaccard): the pairs within clusters from the threshold on.
 
@@ -117,7 +126,7 @@ def matches(df: DataFrame, found: DataFrame, c: MinHash, threshold: float | None
     told by left = right with similarity 1.
     """
     threshold = c.threshold if threshold is None else threshold
-    sets = df.select(F.col(c.index_column).alias("id"), F.array_sort(grams(c)).alias("g")).join(found, "id")
+    sets = _members(df, found, c)
     one = sets.groupBy("cluster", "g").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     a, b = one.alias("a"), one.alias("b")
     pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.id") < F.col("b.id")))
@@ -133,7 +142,7 @@ def verified(df: DataFrame, found: DataFrame, c: MinHash) -> DataFrame:
     """
     near = matches(df, found, c)
     reps = near.select("cluster", F.explode(F.array("left", "right")).alias("rep")).distinct()
-    sets = df.select(F.col(c.index_column).alias("id"), F.array_sort(grams(c)).alias("g")).join(found, "id")
+    sets = _members(df, found, c)
     reps_g = sets.join(reps, (sets.id == reps.rep) & (sets.cluster == reps.cluster), "left_semi").select("cluster", "g")
     good = sets.join(reps_g, ["cluster", "g"], "left_semi").select("id", "cluster")
     least = good.groupBy("cluster").agg(F.min("id").alias("new"))

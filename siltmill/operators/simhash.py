@@ -50,24 +50,31 @@ def signatures(df: DataFrame, c: SimHash) -> DataFrame:
     """
     one, width = hashing.hash_text(c.hash_func, c.f), c.f // 8
 
+    n, least = c.ngram, c.min_length
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            ids, col = batch.columns
-            count = np.array(col.value_lengths(), np.int64)
-            raw = b"".join(one(x.encode()).to_bytes(width, "big") for x in col.flatten().to_pylist())
-            bytes_ = np.frombuffer(raw, np.uint8).reshape(-1, width)
-            out = np.zeros((len(col), width), np.uint8)
-            ends = np.cumsum(count)
-            for i in np.flatnonzero(count).tolist():
-                ones = np.unpackbits(bytes_[ends[i] - count[i] : ends[i]], axis=1).sum(0, dtype=np.int64)
-                out[i] = np.packbits(2 * ones > count[i])
-            halves = out.view(">i8").astype(np.int64)
-            hi = halves[:, 0].copy() if width == 16 else np.zeros(len(col), np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(hi), pa.array(halves[:, -1].copy())], ["id", "hi", "lo"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                yield sign(whole.slice(at, 500))
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(batch.column(1).is_valid())
+        ids, col = batch.columns
+        sets = [T.word_runs(t, n, least, "simhash") for t in col.to_pylist()]
+        count = np.fromiter(map(len, sets), np.int64, len(sets))
+        raw = b"".join(one(x.encode()).to_bytes(width, "big") for g in sets for x in g)
+        bytes_ = np.frombuffer(raw, np.uint8).reshape(-1, width)
+        out = np.zeros((len(col), width), np.uint8)
+        ends = np.cumsum(count)
+        for i in np.flatnonzero(count).tolist():
+            ones = np.unpackbits(bytes_[ends[i] - count[i] : ends[i]], axis=1).sum(0, dtype=np.int64)
+            out[i] = np.packbits(2 * ones > count[i])
+        halves = out.view(">i8").astype(np.int64)
+        hi = halves[:, 0].copy() if width == 16 else np.zeros(len(col), np.int64)
+        return pa.RecordBatch.from_arrays([ids, pa.array(hi), pa.array(halves[:, -1].copy())], ["id", "hi", "lo"])
 
     kind = df.schema[c.index_column].dataType.simpleString()
-    made = df.select(F.col(c.index_column).alias("id"), grams(c).alias("g"))
+    made = df.select(F.col(c.index_column).alias("id"), F.col(c.text_column).alias("text"))
     return made.mapInArrow(run, f"id {kind}, hi long, lo long")
 
 
@@ -153,7 +160,8 @@ def verified(df: DataFrame, found: DataFrame, c: SimHash, with_root: bool = True
     are compared. Components are those of the pairs that pass.
     """
     members = found.unionAll(found.select("cluster", "cluster").distinct()) if with_root else found
-    sets = df.select(F.col(c.index_column).alias("id"), grams(c).alias("g")).join(members, "id")
+    texts = df.select(F.col(c.index_column).alias("id"), c.text_column).join(members, "id")
+    sets = texts.select("id", "cluster", grams(c).alias("g"))
     a, b = sets.alias("a"), sets.alias("b")
     pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.id") < F.col("b.id")))
     near = pairs.where(T.jaccard(F.col("a.g"), F.col("b.g")) >= c.jaccard_threshold).select(F.col("a.id").alias("left"), F.col("b.id").alias("right"))

@@ -30,7 +30,7 @@ def _piece_hashes(data: bytes, k: int) -> np.ndarray:
             out = out * base + power[done : done + n]
             done += width
         power = power[: len(power) - width] * base + power[width:] if len(power) > width else power[:0]
-        k, width, base = k >> 1, width * 2, base * base
+        k, width, base = k >> 1, width * 2, np.uint64(int(base) ** 2 % (1 << 64))
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ out >> np.uint64(32)

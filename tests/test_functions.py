@@ -166,3 +166,13 @@ def test_union_find():
     assert u.clusters() == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 7: 7}
     u.reset()
     assert u.clusters() == {}
+
+
+def test_word_runs_are_the_column_form(spark):
+    r = random.Random(4)
+    texts = ["", "a", "Déjà vu! naïve_x ½ x² ‿ क़िला z 42", "İstanbul ΑΣ ẞ ǅ"] + [" ".join(r.choice(["a", "B", "é,", "x-y", "٣"]) for _ in range(r.randint(0, 12))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for flavour in T.NON_WORD:
+        for n, least in ((1, 0), (2, 0), (3, 5), (8, 5), (0, 0)):
+            for row in df.select("i", T.ngram_set("t", n, least, flavour).alias("g")).collect():
+                assert list(T.word_runs(texts[row.i], n, least, flavour)) == row.g
