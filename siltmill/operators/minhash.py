@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmill.functions import hashing, text as T
@@ -96,9 +96,11 @@ def pair_edges(bands: DataFrame) -> DataFrame:
 
 
 def star_edges(bands: DataFrame) -> DataFrame:
-    """(left, right): each bucket's least id to its others: the same components, and linear in its size."""
-    least = bands.groupBy("band", "value").agg(F.min("id").alias("left"), F.count("*").alias("n")).where("n > 1")
-    return bands.join(least, ["band", "value"]).where("id != left").select("left", F.col("id").alias("right")).distinct()
+    """(left, right): each bucket's least id to its others: the same components, and linear in its size.
+
+    A window, not an aggregate and a join, so that signatures are made once."""
+    least = F.min("id").over(Window.partitionBy("band", "value"))
+    return bands.withColumn("left", least).where("id != left").select("left", F.col("id").alias("right")).distinct()
 
 
 def clusters(df: DataFrame, c: MinHash) -> DataFrame:

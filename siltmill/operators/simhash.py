@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltmill.functions import hashing, text as T
 from siltmill.operators.graph import connected_components
 from siltmill.operators.unionfind import UnionFind
+from siltmill.session import written
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,7 @@ def edges(sigs: DataFrame, c: SimHash) -> DataFrame:
 
 def near_pairs(df: DataFrame, c: SimHash) -> DataFrame:
     """(left, right, distance): all pairs of documents within bit_diff, left < right."""
-    sigs = signatures(df, c)
+    sigs = written(signatures(df, c))
     least = sigs.groupBy("hi", "lo").agg(F.min("id").alias("id"))
     owner = sigs.withColumnRenamed("id", "doc").join(least, ["hi", "lo"]).select("id", "doc")
     reps = near_signatures(least, c).unionAll(least.select("id", "id", F.lit(0).cast("long")))
@@ -119,7 +120,7 @@ def clusters(df: DataFrame, c: SimHash, roots: str = "least") -> DataFrame:
     roots: 'least' takes the least id; 'replay' the root that union by rank gives when documents come in
     order of their ids and meet earlier ones bucket by bucket. Both give the same clusters.
     """
-    sigs = signatures(df, c)
+    sigs = written(signatures(df, c))
     found = connected_components(edges(sigs, c))
     if roots == "replay":
         found = found.join(sigs, "id").groupBy("component").applyInPandas(_replay(c), "id long, component long")

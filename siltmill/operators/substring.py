@@ -68,8 +68,8 @@ def repeated_windows(docs: DataFrame, length: int = 100, text: str = "text", ind
 
     runs = base.mapInArrow(find, f"id {kind}, anchor long, first long, last long")
     # a window repeats only if its anchor stands over two windows at least
-    shared = runs.groupBy("anchor").agg(F.sum(F.col("last") - F.col("first")).alias("n")).where("n > 1")
-    some = runs.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    over = F.sum(F.col("last") - F.col("first")).over(Window.partitionBy("anchor"))
+    some = runs.withColumn("n", over).where("n > 1").groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,8 +83,9 @@ def repeated_windows(docs: DataFrame, length: int = 100, text: str = "text", ind
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(pa.array(np.zeros(len(starts), np.int64))), pa.array(starts, pa.int64()), pa.array(hashes, pa.binary())], ["id", "start", "hash"])
 
     hashed = base.join(some, "id").select("id", "text", "runs").mapInArrow(hash_, f"id {kind}, start long, hash binary")
-    often = hashed.groupBy("hash").count().where("count > 1")
-    return hashed.join(often, "hash", "left_semi").select(F.col("id").alias(index), "start")
+    # windows, so that neither anchors nor hashes are made twice
+    often = hashed.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1")
+    return often.select(F.col("id").alias(index), "start")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, text: str = "text", index: str = "__INDEX__", strategy: str = "overlapping") -> DataFrame:
