@@ -57,6 +57,34 @@ def test_forest_works_off_large_regions(spark, copies, monkeypatch):
     assert len({r.group_id for r in rows}) <= 85
 
 
+def _hot(n, words, shared, pairs=0, common=0):
+    """Texts of which a passage of so many shingles is shared by all; of the first rows, two share more of them."""
+    hot = edges.prose(77, shared + 2)
+    out = []
+    for k in range(n):
+        own = edges.prose(10_000 + k, words - shared)
+        if k < 2 * pairs and k % 2:
+            own = " ".join(out[k - 1][1].split()[shared + 2 : shared + 2 + common] + own.split()[common:])
+        out.append((k, hot + " " + own))
+    return out
+
+
+def test_forest_verifies_pairs(spark):
+    """Half of each text is one passage: a Jaccard similarity of a third, and no pair is near."""
+    texts = _hot(600, 100, 50)
+    rows = near_dedup.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(rows) == 600 and all(r.keep for r in rows)
+
+
+def test_overlaps_are_exact(monkeypatch):
+    monkeypatch.setattr(near_dedup, "LOOKED_UP", 50)
+    r = np.random.RandomState(3)
+    sets = [np.unique(r.randint(0, 60, r.randint(1, 40)).astype(np.uint32)) for _ in range(30)]
+    left, right = r.randint(0, 30, 500), r.randint(0, 30, 500)
+    want = [len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in zip(left, right)]
+    assert near_dedup.overlaps(sets, left, right).tolist() == want
+
+
 def test_forest_rows(spark):
     rows = {r.doc_id: r for r in near_dedup.groups(edges.table(spark)).collect()}
     assert None not in rows and rows[6].group_id == rows[12].group_id == rows[5].group_id == 5
