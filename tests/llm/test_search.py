@@ -76,6 +76,42 @@ def test_forest_verifies_pairs(spark):
     assert len(rows) == 600 and all(r.keep for r in rows)
 
 
+def test_forest_recall_of_hot_passages(spark):
+    """Half of each text is one passage; pairs of a Jaccard similarity of 0.43 stand in regions of hundreds of rows."""
+    texts = _hot(1500, 100, 50, pairs=300, common=11)
+    sets = [set(s.tolist()) for s in near_dedup.shingles([t for _, t in texts[:600]])]
+    assert all(0.4 < len(a & b) / len(a | b) < 0.45 for a, b in zip(sets[::2], sets[1::2]))
+    group = {r.doc_id: r.group_id for r in near_dedup.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert np.mean([group[k] == group[k + 1] for k in range(0, 600, 2)]) >= 0.9
+    assert len(set(group.values())) >= 1200
+
+
+def test_regions_compare_all_pairs():
+    r = np.random.RandomState(5)
+    kinds = r.randint(0, 256, (12, near_dedup.SKETCH // 2)).astype(np.uint8)
+    sketches = kinds[r.randint(0, 12, 300)]
+    changed = r.random(sketches.shape) < r.choice([0.1, 0.45, 0.6], 300)[:, None]
+    sketches = np.where(changed, r.randint(0, 256, sketches.shape).astype(np.uint8), sketches)
+    labels = np.sort(r.randint(0, 40, 300))[:, None].repeat(near_dedup.DEPTH, 1).astype(np.uint32)
+    share = np.array([near_dedup._shares(sketches.view(np.uint64), s) for s in sketches.view(np.uint64)])
+
+    def joined(pairs):
+        at = list(range(300))
+        for i, j in pairs:
+            at = [at[i] if x == at[j] else x for x in at]
+        return [[i for i in range(300) if at[i] == x] for x in sorted(set(at))]
+
+    for threshold, sure in ((0.3, 0.6), (0.3, 2.0), (0.5, 0.6)):
+        found = near_dedup._Region(labels, sketches, threshold, sure)
+        list(found.whole(0, 300))
+        got = {(min(p), max(p)) for p in zip(*(x.tolist() for x in found.taken()))}
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if share[i, j] >= threshold}
+        assert got <= want and (sure < 1 or got == want)
+        # a pair that isn't given is of rows that sure pairs join
+        near = {i: k for k, g in enumerate(joined([p for p in got if share[p] >= sure])) for i in g}
+        assert all(near[i] == near[j] for i, j in want - got)
+
+
 def test_overlaps_are_exact(monkeypatch):
     monkeypatch.setattr(near_dedup, "LOOKED_UP", 50)
     r = np.random.RandomState(3)
