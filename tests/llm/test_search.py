@@ -112,6 +112,19 @@ def test_regions_compare_all_pairs():
         assert all(near[i] == near[j] for i, j in want - got)
 
 
+def test_region_in_many_batches(spark, monkeypatch):
+    """One label, and rows of two kinds in turn: no row of the second kind is near the first row."""
+    kinds = [bytes(near_dedup.SKETCH // 2), bytes([0x5A] * (near_dedup.SKETCH // 2))]
+    signed = spark.createDataFrame([(k, bytes(4 * near_dedup.TREES * near_dedup.DEPTH), kinds[k % 2]) for k in range(200)], "id long, label binary, sketch binary")
+    monkeypatch.setattr(near_dedup, "HELD", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        rows = near_dedup.connected_components(near_dedup.tree_edges(signed)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.id: r.component for r in rows} == {k: k % 2 for k in range(200)}
+
+
 def test_overlaps_are_exact(monkeypatch):
     monkeypatch.setattr(near_dedup, "LOOKED_UP", 50)
     r = np.random.RandomState(3)
