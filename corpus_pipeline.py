@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmill.llm import language, near_dedup, packing, quality
+from siltmill.llm.text import count_words
 from siltmill.session import use_repo, written
 
 
@@ -35,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in bins of 2048 words: a row for each document's piece."""
     use_repo(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, length=count_words(F.col("text")))
 
 
 STAGES = [

@@ -208,7 +208,8 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", length=None, text_col: str = "text") -> DataFrame:
     """(bin_id, start, id, piece, piece_start, length): each document's pieces and where they lie.
 
-    length is a column of lengths, by default the text's number of words. A null or non-positive
+    length is a column of lengths, by default the text's number of runs without white space;
+    text.count_words counts characters of scripts without spaces singly. A null or non-positive
     length (as of a null or empty text) takes part in no bin and gives no row; longer documents than
     the capacity are cut into whole bins and a rest. Rows that repeat an id are packed like any
     others; ties among equal lengths go by the id's hash, the id and the piece. A null id is packed

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmill.llm import fingerprints, grammar, language, near_dedup, packing, pieces, quality, token_counts, toxicity, url_filter
+from siltmill.llm.text import count_words
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    return packing.pack(_read(spark, sf_dir, "documents"), length=count_words(F.col("text")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Scripts that are written without spaces; each of their characters counts as a word.
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
@@ -20,6 +22,16 @@ def words(text: str) -> list[str]:
     return text.split()
 
 
+def count_words(text: Column) -> Column:
+    """How many words() a text has; null for a null one."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            yield pa.array([None if t is None else len(words(t)) for t in col.to_pylist()], pa.int64())
+
+    return F.arrow_udf(run, "long")(text)
+
+
 class Codes(dict):
     """Codes 0, 1, 2, ... in order of first sight."""
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltmill.llm import fingerprints, language, near_dedup, packing, queries, toxicity
+from siltmill.llm.text import words
 
 from . import edges
 
@@ -255,6 +256,20 @@ def test_pack_rows(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_unspaced_texts_are_cut(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [(0, "語" * 5000), (1, "ไทย" * 1000), (2, "one two\x1cthree\u3000four 五六\xa0\U00020001 é"), (3, "plain words\x1fonly"), (4, None), (5, " \u3000"), *((i + 6, t) for i, (_, t) in enumerate(edges.TEXTS))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries.op1_best_fit_packing(spark, str(tmp_path)).collect(), corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()):
+        got = {}
+        for r in rows:
+            got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert max(r.length for r in rows) == 2048 and sum(r.doc_id == 0 for r in rows) == 3
+        assert got == {i: n for i, t in texts if (n := len(words(t or "")))}
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fit, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
