@@ -2,7 +2,8 @@
 
 A shard is some two million tokens of consecutive documents of one input task. Round by round the
 most frequent pairs of neighbouring symbols within documents become nonterminals; where two chosen
-pairs overlap, the more frequent one wins. A shard keeps its rules, the number of tokens that each
+pairs overlap, the more frequent one wins. Rounds end when no pair is left that occurs twice, or when
+all symbols that two bytes can name are used up. A shard keeps its rules, the number of tokens that each
 symbol expands to, and each document's run of symbols; so any range of a document's tokens is found
 by adding lengths and expanding only the symbols that it touches.
 """
@@ -24,34 +25,50 @@ SHARD_TOKENS = 2_000_000
 #: Symbols in all, so that each takes two bytes: the vocabulary's and the rules'.
 SYMBOLS = 1 << 16
 #: A pair becomes a rule from so many occurrences.
-LEAST_COUNT = 8
-#: A round takes the pairs that are at least this part as frequent as its most frequent one.
-ROUND = 0.2
+LEAST_COUNT = 2
+#: A round takes the pairs that are at least this part as frequent as its most frequent one, and at least the
+#: most frequent ones up to so many.
+ROUND = 0.35
+TOGETHER = 250
 MAGIC = b"RPG1"
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokenize(texts: list[str | None], ranks: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, how many each has); a null text counts as empty."""
-    encode = load(ranks, pattern).encode_to_numpy
-    parts = [encode(t, disallowed_special=()) if t else np.empty(0, np.uint32) for t in texts]
+    encode = load(ranks, pattern).encode_ordinary
+    parts = [np.array(encode(t) if t else [], np.uint32) for t in texts]
     return np.concatenate(parts) if parts else np.empty(0, np.uint32), np.array([len(p) for p in parts], np.int64)
 
 
-def compress(seq: np.ndarray, counts: np.ndarray, base: int, symbols: int = SYMBOLS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, how many each document has, rules): rule k is the pair that symbol base + k stands for."""
-    seq = seq.astype(np.uint64)
-    sizes = counts.astype(np.int64)
+def compress(seq: np.ndarray, counts: np.ndarray, base: int, symbols: int = SYMBOLS, least: int = LEAST_COUNT, part: float = ROUND, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, how many each document has, rules): rule k is the pair that symbol base + k stands for.
+
+    It ends when no pair within documents occurs least times, apart from one another, or when all symbols
+    are used up. A round takes the pairs that are at least part as frequent as its most frequent one, and
+    the most frequent ones up to so many together; an occurrence beside one of a more frequent pair waits.
+    """
+    shift, kind = (np.uint32(16), np.uint32) if symbols <= 1 << 16 else (np.uint64(32), np.uint64)
+    low, none, width = kind((1 << int(shift)) - 1), kind(np.iinfo(kind).max), 8 * np.dtype(kind).itemsize
+    factor = kind(0x9E3779B97F4A7C15 >> (64 - width) | 1)
+    seq, ends = seq.astype(kind), np.cumsum(counts, dtype=np.int64)
     rules: list[np.ndarray] = []
-    made, none = 0, np.uint64((1 << 64) - 1)
+    made = 0
     while made < symbols - base and len(seq) > 1:
-        keys = seq[:-1] << np.uint64(32)
+        keys = seq[:-1] << shift
         keys |= seq[1:]
-        ends = np.cumsum(sizes)
-        across = ends[sizes > 0][:-1] - 1  # pairs that would cross into the next document
-        keys[across] = none
+        across = np.unique(ends)
+        across = across[(across > 0) & (across < len(seq))] - 1  # pairs that would run into the next document
+        skip = across
+        # of one symbol repeated, every other pair counts
+        twice = np.flatnonzero(seq[:-1] == seq[1:])
+        if len(twice):
+            twice = twice[~np.isin(twice, across)]
+            new_run = np.concatenate([[True], np.diff(twice) != 1])[: len(twice)]
+            start = twice[np.maximum.accumulate(np.where(new_run, np.arange(len(twice)), 0))]
+            skip = np.concatenate([across, twice[(twice - start) % 2 == 1]])
+        keys[skip] = none
         order = np.sort(keys)
-        order = order[: len(order) - len(across)]
+        order = order[: len(order) - len(skip)]
         if not len(order):
             break
         firsts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
@@ -59,50 +76,42 @@ def compress(seq: np.ndarray, counts: np.ndarray, base: int, symbols: int = SYMB
         most = int(freq.max())
         if most < least:
             break
-        picked = np.flatnonzero(freq >= max(least, most * ROUND))
+        picked = np.flatnonzero(freq >= max(least, most * part))
+        if len(picked) < together < len(freq):
+            picked = np.flatnonzero(freq >= max(least, np.partition(freq, -together)[-together]))
         picked = picked[np.argsort(-freq[picked], kind="stable")][: symbols - base - made]
         chosen = order[firsts[picked]]
+        left, right = np.zeros(symbols, bool), np.zeros(symbols, bool)
+        left[chosen >> shift] = right[chosen & low] = True
+        there = np.flatnonzero(left[seq[:-1]])
+        there = there[right[seq[there + 1]]]
+        mine = keys[there]
         # a table by hash; of two chosen pairs in one slot the rarer waits for a later round
-        bits = np.uint64(64 - max(12, int(len(chosen) * 16).bit_length()))
-        slots = ((chosen * _FACTOR) >> bits).astype(np.int64)
-        size = 1 << (64 - int(bits))
-        rank_in, key_in = np.full(size, len(chosen), np.int32), np.zeros(size, np.uint64)
+        bits = min(18, (16 * len(chosen)).bit_length())
+        slots = (chosen * factor) >> kind(width - bits)
+        rank_in, key_in = np.zeros(1 << bits, np.int32), np.full(1 << bits, none, kind)
         rank_in[slots[::-1]] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
         key_in[slots[::-1]] = chosen[::-1]
-        at = ((keys * _FACTOR) >> bits).view(np.int64)
-        full = np.zeros(size, bool)
-        full[slots] = True
-        there = np.flatnonzero(full[at])
-        slot = at[there]
-        same = key_in[slot] == keys[there]
-        there, slot = there[same], slot[same]
-        rank = np.full(len(keys) + 2, len(chosen), np.int32)  # of the pair that begins one place before
-        rank[there + 1] = mine = rank_in[slot]
-        keep = there[(mine <= rank[there]) & (mine <= rank[there + 2])]
-        rank = rank[1:]
-        # neighbours that are both left are of one symbol repeated: every other one goes
-        new_run = np.concatenate([[True], np.diff(keep) != 1])
-        start = keep[np.maximum.accumulate(np.where(new_run, np.arange(len(keep)), 0))]
-        keep = keep[(keep - start) % 2 == 0]
-        used = np.bincount(rank[keep], minlength=len(chosen))
-        good = used >= 3
-        keep = keep[good[rank[keep]]]
-        if not len(keep):
-            break
-        name = np.cumsum(good) - 1 + base + made
+        slots = (mine * factor) >> kind(width - bits)
+        hit = (key_in[slots] == mine) & (mine != none)
+        there, mine = there[hit], rank_in[slots[hit]]
+        rank = np.full(len(seq) + 1, len(chosen), np.int32)  # of the pair that begins one place before
+        rank[there + 1] = mine
+        wins = (mine <= rank[there]) & (mine <= rank[there + 2])
+        there, mine = there[wins], mine[wins]
+        good = np.bincount(mine, minlength=len(chosen)) >= least  # the most frequent one always is
+        there, mine = there[good[mine]], mine[good[mine]]
         rules.append(chosen[good])
+        seq[there] = (np.cumsum(good) - 1 + base + made)[mine]
         made += int(good.sum())
-        seq[keep] = name[rank[keep]].astype(np.uint64)
+        gone = there + 1
         stays = np.ones(len(seq), bool)
-        stays[keep + 1] = False
-        gain = len(keep) / len(seq)
-        sizes = sizes - np.bincount(np.searchsorted(ends, keep, "right"), minlength=len(sizes))
+        stays[gone] = False
         seq = seq[stays]
-        if gain < 0.002:
-            break
-    pairs = np.concatenate(rules) if rules else np.empty(0, np.uint64)
-    table = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-    return seq.astype(np.uint32), sizes, table
+        ends -= np.searchsorted(gone, ends)
+    pairs = np.concatenate(rules) if rules else np.empty(0, kind)
+    table = np.stack([pairs >> shift, pairs & low], 1).astype(np.uint32)
+    return seq.astype(np.uint32), np.diff(ends, prepend=0), table
 
 
 def expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -219,7 +228,11 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, tokens): the documents of a table that write_shards made; null tokens stand for a null text."""
+    """(id, tokens): a row for each document of a table that write_shards made, exactly its token ids.
+
+    Null tokens stand for a null text, none for an empty one. Repeated rows and null ids come back as they
+    were; an empty table gives an empty one, and other columns of it are left out.
+    """
     kind = shards.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,6 +86,60 @@ def test_grammar_shrinks_what_repeats():
     assert grammar.expansions(rules.astype(np.int64), 50).min() >= 2
 
 
+def _pairs(docs):
+    """How often each pair occurs within documents, of one symbol repeated every other time."""
+    out = {}
+    for d in docs:
+        last = {}
+        for i, p in enumerate(zip(d, d[1:])):
+            if p[0] != p[1] or last.get(p) != i - 1:
+                last[p] = i
+                out[p] = out.get(p, 0) + 1
+    return out
+
+
+def _repair(docs, base):
+    """Re-Pair one pair at a time: (symbols left, rules)."""
+    docs, rules = [list(d) for d in docs], 0
+    while (n := _pairs(docs)) and max(n.values()) >= 2:
+        best = max(n, key=n.get)
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                hit = tuple(d[i : i + 2]) == best
+                out.append(base + rules if hit else d[i])
+                i += 1 + hit
+            docs[k] = out
+        rules += 1
+    return sum(map(len, docs)), rules
+
+
+def test_grammar_against_brute_force():
+    """No pair is left that occurs twice, and the grammar is about as small as when pairs go one by one."""
+    rng = np.random.RandomState(12)
+    mine = theirs = 0
+    for _ in range(60):
+        kinds = rng.choice([1, 2, 4, 20])
+        docs = [rng.randint(0, kinds, rng.choice([0, 1, 3, 40, 150])) for _ in range(rng.randint(1, 5))]
+        docs += [docs[0]] * rng.randint(0, 3)
+        ids, counts = np.concatenate(docs).astype(np.uint32), np.array([len(d) for d in docs])
+        for symbols in (1 << 16, 1 << 20):
+            seq, sizes, rules = grammar.compress(ids, counts, 20, symbols)
+            assert (grammar.expand(seq, rules.astype(np.int64), 20) == ids).all()
+            left = np.split(seq, np.cumsum(sizes)[:-1])
+            assert all(len(grammar.expand(s, rules.astype(np.int64), 20)) == len(d) for s, d in zip(left, docs))
+            assert max(_pairs([s.tolist() for s in left]).values(), default=0) < 2
+        n, r = _repair([d.tolist() for d in docs], 20)
+        mine, theirs = mine + len(seq) + 2 * len(rules), theirs + n + 2 * r
+    assert mine <= 1.1 * theirs  # rounds take many pairs at once, which costs some rules
+
+
+def test_grammar_stops_where_symbols_end():
+    ids = np.random.RandomState(1).randint(0, 30, 5000).astype(np.uint32)
+    seq, _, rules = grammar.compress(ids, np.array([5000]), 30, 100)
+    assert len(rules) == 70 and seq.max() < 100 and (grammar.expand(seq, rules.astype(np.int64), 30) == ids).all()
+
+
 def _shared(t):
     n, best = len(t), [0] * len(t)
     for i in range(n):
