@@ -28,7 +28,7 @@ SYMBOLS = 1 << 16
 LEAST_COUNT = 2
 #: A round takes the pairs that are at least this part as frequent as its most frequent one, and at least the
 #: most frequent ones up to so many.
-ROUND = 0.35
+ROUND = 0.3
 TOGETHER = 250
 MAGIC = b"RPG1"
 
