@@ -87,6 +87,37 @@ def test_forest_recall_of_hot_passages(spark):
     assert len(set(group.values())) >= 1200
 
 
+def test_forest_cuts_full_regions(spark):
+    """With regions cut early, near pairs beside a passage that all share still meet, and none are made up."""
+    texts = _hot(700, 100, 50, pairs=100, common=11)
+    group = {r.doc_id: r.group_id for r in near_dedup.groups(spark.createDataFrame(texts, "doc_id long, text string"), full=40).collect()}
+    assert np.mean([group[k] == group[k + 1] for k in range(0, 200, 2)]) >= 0.9
+    assert len(set(group.values())) >= 600
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.02])
+def test_forest_joins_what_a_passage_makes_near(spark, noise):
+    """The passage is most of each text, so all are near, whatever the regions hold; some copies of it differ."""
+    hot = edges.prose(77, 120)
+    texts = [(k, (_edit(hot, k, noise) if noise else hot) + " " + edges.prose(20_000 + k, 20 + k % 30)) for k in range(400)]
+    for full in (40, 10_000):
+        rows = near_dedup.groups(spark.createDataFrame(texts, "doc_id long, text string"), full=full).collect()
+        assert len(rows) == 400 and sum(r.group_id == 0 for r in rows) >= (400 if not noise or full > 400 else 392)
+
+
+def test_forest_bounds_regions(spark):
+    """Of one passage in all texts no region is larger than it may be, but for whole labels cut by chance."""
+    texts = _hot(600, 100, 95)
+    docs = spark.createDataFrame(texts, "id long, text string")
+    signed = near_dedup.signatures(docs, "id", "text")
+    deeper = near_dedup.full_regions(signed, 50)
+    rows, pairs, _ = near_dedup.rare_rows(docs, deeper.select("id"), 50)
+    most = [d.groupBy("region").count().agg(F.max("count")).first()[0] for d in (near_dedup.tree_rows(signed, deeper), rows)]
+    assert deeper.count() == 600 and most[0] <= 90 and most[1] <= 50
+    assert near_dedup.tree_rows(signed, deeper).count() == 600 * near_dedup.TREES and pairs.count() == 599
+    assert near_dedup.full_regions(signed, 600) is None
+
+
 def test_regions_compare_all_pairs():
     r = np.random.RandomState(5)
     kinds = r.randint(0, 256, (12, near_dedup.SKETCH // 2)).astype(np.uint8)
@@ -140,6 +171,8 @@ def test_forest_rows(spark):
     assert None not in rows and rows[6].group_id == rows[12].group_id == rows[5].group_id == 5
     assert all(rows[i].keep for i in (1, 2, 3, 4, 5, 7)) and not rows[6].keep
     kept = [r.doc_id for r in near_dedup.keep_one(edges.table(spark)).collect()]
+    same = spark.createDataFrame([(1, "one text"), (1, "another text of it"), (1, "one text")], "doc_id long, text string")
+    assert sorted(r.text for r in near_dedup.keep_one(same).collect()) == ["another text of it", "one text"]
     assert kept.count(5) == 1 and 6 not in kept and kept.count(None) == 2
 
 
