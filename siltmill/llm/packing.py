@@ -1,7 +1,7 @@
 """Best-fit packing with Martello and Toth's dominance reduction, over the histogram of lengths.
 
 Documents longer than the capacity are cut into full pieces and a rest. What the driver sees is one
-count for each length and bucket, so its work is bounded by the capacity, whatever the number of
+count for each length, so its work is bounded by the capacity, whatever the number of
 documents. There the reduction fixes sets that dominate all others that hold the same longest
 piece; the rest is packed best-fit, longest first. Bins of the same content form ranges of ids, so
 the plan is a list of ranges, and each piece finds its bin by its rank among those of its length.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from siltmill.session import written
 
-#: Pieces of one length are ranked in so many independent buckets; this bounds a window's share.
-BUCKETS = 64
+#: Pieces of one length are ranked in buckets of about so many, whose number follows the length's count.
+RANKED = 1 << 20
 
 
 class Items:
@@ -114,7 +114,10 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
             have = left.n.get(p, 0) + waiting.get(p, 0) + (p == j)
             times = min(left_j, have // 2 if p == j else have)
         elif len(found) == 3:
-            times = 1
+            # nothing else changes while all three last: the best partners stay the best, those that are too
+            # long together get longer, and no piece comes between
+            have = {x: left.n.get(x, 0) + waiting.get(x, 0) + (x == j) for x in found}
+            times = min(left_j, *(have[x] // found.count(x) for x in found))
         left.n[j] = left_j  # put the one taken back, then take all
         if j not in left.keys:
             left.keys.append(j)
@@ -205,7 +208,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return ranges, {"bins": bins, "fixed_bins": fixed_bins, "fixed_sets": len(fixed)}
 
 
-def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", length=None, text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", length=None, text_col: str = "text", ranked: int = RANKED) -> DataFrame:
     """(bin_id, start, id, piece, piece_start, length): each document's pieces and where they lie.
 
     length is a column of lengths, by default the text's number of runs without white space;
@@ -226,30 +229,27 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", length=N
             "id",
             "piece",
             F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("k") * capacity).cast("int").alias("length"),
-            F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+            F.xxhash64("id", "piece").alias("h"),
         )
     )
-    counted = cut.groupBy("length", "bucket").count().collect()  # at most capacity x BUCKETS rows
-    counts: dict[int, int] = {}
-    offsets: dict[tuple[int, int], int] = {}
-    for r in sorted(counted, key=lambda r: (r.length, r.bucket)):
-        offsets[r.length, r.bucket] = counts.get(r.length, 0)
-        counts[r.length] = counts.get(r.length, 0) + r["count"]
+    counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     ranges, _ = plan_bins(counts, capacity)
     table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
-    base = np.zeros((capacity + 1, BUCKETS), np.int64)
-    for (a, b), v in offsets.items():
-        base[a, b] = v
-    first = np.searchsorted(table[:, 0], np.arange(capacity + 2))
-    sent = spark.sparkContext.broadcast((table, base, first))  # bounded by the capacity, not by the data
+    sent = spark.sparkContext.broadcast(table)  # bounded by the capacity, not by the data
+    buckets = F.array(*[F.lit(-(-counts.get(k, 1) // ranked)).cast("long") for k in range(1, capacity + 1)])
+    keyed = cut.select("id", "piece", "length", F.pmod("h", buckets[F.col("length") - 1]).alias("bucket"))
+    # ranks within a bucket, and the pieces of one length in the buckets before it
+    inside = Window.partitionBy("length", "bucket").orderBy("id", "piece")
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    placed = keyed.withColumn("rank", F.row_number().over(inside).cast("long") - 1).join(offsets, ["length", "bucket"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, base, first = sent.value
+        table = sent.value
         step = int(table[:, 1].max()) + 1 if len(table) else 1
         keys = table[:, 0] * step + table[:, 1]
         for b in batches:
-            length, bucket, rank = (b.column(i).to_numpy() for i in (2, 3, 4))
-            rank = base[length, bucket] + rank
+            length, rank = b.column(2).to_numpy(), b.column(3).to_numpy()
             row = table[np.searchsorted(keys, length.astype(np.int64) * step + rank, "right") - 1]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -263,12 +263,6 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", length=N
                 ["bin_id", "start", id_col, "piece", "piece_start", "length"],
             )
 
-    ranked = cut.select(
-        "id",
-        "piece",
-        "length",
-        "bucket",
-        (F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece")) - 1).cast("long").alias("rank"),
-    )
     kind = docs.schema[id_col].dataType.simpleString()
-    return ranked.mapInArrow(assign, f"bin_id long, start long, `{id_col}` {kind}, piece int, piece_start long, length long")
+    made = placed.select("id", "piece", "length", (F.col("rank") + F.col("offset")).alias("rank"))
+    return made.mapInArrow(assign, f"bin_id long, start long, `{id_col}` {kind}, piece int, piece_start long, length long")

@@ -251,6 +251,27 @@ def test_reduction_keeps_the_optimum():
         assert sum(n for _, n in fixed) + _least_bins(left, capacity) == _least_bins(sizes, capacity)
 
 
+def test_plan_is_bounded_by_the_capacity():
+    for small in ({1100: 1, 450: 2}, {900: 2, 248: 1}, {1500: 3, 700: 5, 300: 4, 200: 9}, {k: 1 + k % 3 for k in range(1, 2049, 7)}):
+        told = [packing.plan_bins({k: v * n for k, v in small.items()}, 2048) for n in (1000, 32_000)]
+        assert len(told[1][0]) <= len(told[0][0]) + 20 and len(told[1][0]) <= 4 * 2048
+        assert abs(told[1][1]["bins"] - 32 * told[0][1]["bins"]) <= 32 * len(small)
+    assert packing.plan_bins({1100: 32_000, 450: 64_000}, 2048)[1] == {"bins": 32_000, "fixed_bins": 32_000, "fixed_sets": 1}
+
+
+def test_reduction_of_many_copies():
+    """Fixing a set many times at once is fixing it one at a time."""
+    r = random.Random(18)
+    for _ in range(150):
+        capacity = r.choice([12, 20])
+        counts = {r.randint(2, capacity): r.randint(1, 4) for _ in range(r.randint(1, 3))}
+        sizes = sorted((s for s, n in counts.items() for _ in range(n)), reverse=True)
+        fixed, rest = packing.reduce_instance(counts, capacity)
+        left = sorted((s for s, n in rest.items() for _ in range(n)), reverse=True)
+        assert sorted([s for f, n in fixed for s in f * n] + left) == sorted(sizes)
+        assert sum(n for _, n in fixed) + _least_bins(left, capacity) == _least_bins(sizes, capacity)
+
+
 def test_plan_holds_every_piece():
     r = random.Random(9)
     for _ in range(100):
@@ -285,6 +306,9 @@ def test_pack_rows(spark):
         bins.setdefault(r.bin_id, []).append((r.start, r.length))
     for b in bins.values():
         assert all(x[0] + x[1] <= y[0] for x, y in zip(sorted(b), sorted(b)[1:])) and max(x + y for x, y in b) <= capacity
+    few = packing.pack(edges.table(spark), capacity, ranked=3).collect()  # many buckets of a length
+    assert sorted((r.bin_id, r.start, r.length) for r in few) == sorted((r.bin_id, r.start, r.length) for r in rows)
+    assert sorted((str(r[2]), r.piece_start, r.length) for r in few) == want
     again = packing.pack(edges.table(spark), capacity).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
