@@ -56,8 +56,7 @@ def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return toxicity.classify(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmill.llm.text import Codes, mix, pieces
+from siltmill.session import written
 
 #: Labelled rows that the classifier is fitted on, at most: half of either class where there are enough.
 TRAIN_ROWS = 16_000
-#: One labelled row in so many is held out, for the thresholds.
+#: Bytes of text that it is fitted on, at most, but for one text of each class; half of either class.
+TRAIN_BYTES = 1 << 25
+#: One labelled row in so many is never fitted on, so that there are some for the thresholds.
 HELD_OUT = 5
 BUCKETS = 1 << 16
 #: Numbers in a row of each table, and first letters that the third one goes by.
@@ -34,8 +37,10 @@ EPOCHS = 6
 BATCH = 64
 RATE = 0.15
 SEED = 11
-#: A language with fewer toxic rows held out takes the threshold of all.
-LEAST_TOXIC = 15
+#: Toxic rows that the counts of all languages stand for in each language's own.
+PSEUDO = 15.0
+#: Scores are counted by their logits, in steps of 1 / STEPS between -SPAN and SPAN.
+STEPS, SPAN = 100, 20
 _WORD = re.compile(r"\w+")
 
 
@@ -160,69 +165,126 @@ class Classifier:
                     self.tables[t][to] -= RATE * grad / np.sqrt(sums[t][to])
         return self
 
-    def calibrate(self, texts: list[str], toxic: list[int], languages: list[str | None]) -> Classifier:
-        """For each language the threshold of the best F1, in the middle of the gap; of all texts for the rest."""
-        score, y = self.scores(*hashed(texts)), np.array(toxic, bool)
-        of = np.array([x or "" for x in languages])
-        self.thresholds = {None: _threshold(score, y)}
-        for language in sorted(set(of.tolist()) - {""}):
-            mine = of == language
-            if y[mine].sum() >= LEAST_TOXIC:
-                self.thresholds[language] = _threshold(score[mine], y[mine])
-        return self
 
 
-def _threshold(score: np.ndarray, y: np.ndarray) -> float:
-    if not y.any() or y.all():
+def best_threshold(bins: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> float:
+    """The score from which on F1 is best, in the middle of the gap below; 0.5 where there is nothing to tell apart.
+    bins, in order, and how much of either class is in each. Of equal F1 the highest score is taken."""
+    if not toxic.sum() or not other.sum():
         return 0.5
-    order = np.argsort(-score, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    s = score[order]
-    f1[:-1][s[:-1] == s[1:]] = -1  # equal scores can't be told apart
-    k = int(np.argmax(f1))
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
+    hits, others = toxic[::-1].cumsum(), other[::-1].cumsum()
+    f1 = 2 * hits / (hits + others + toxic.sum())
+    k = len(bins) - 1 - int(np.argmax(f1))
+    below = bins[k - 1] + 1 if k else bins[k]
+    return float(1 / (1 + np.exp(-(bins[k] + below) / 2 / STEPS)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Classifier:
-    """Fit on at most rows labelled texts, those of the least id hashes in each class, and calibrate.
+def thresholds(counts: list[tuple[str | None, int, int, bool, int]]) -> dict[str | None, float]:
+    """Each language's threshold from (language, bin, toxic, fitted, count).
+
+    Rows that the model was fitted on only tell how many each class has: the others stand for them, so that both
+    classes keep their natural ratio. Each language's counts are added to those of all, scaled to PSEUDO toxic
+    rows; so rare languages take after all of them, by degrees. None is the key of all."""
+    data = [(x, b, int(y), f, n) for x, b, y, f, n in counts]
+    whole, free = [0, 0], [0, 0]
+    for _, _, y, fitted, n in data:
+        whole[y] += n
+        free[y] += 0 if fitted else n
+    bins = np.array(sorted({b for _, b, _, f, _ in data if not f}), np.int64)
+    if not min(free):
+        return {None: 0.5}
+    at = {b: k for k, b in enumerate(bins.tolist())}
+    tables: dict[str | None, np.ndarray] = {None: np.zeros((2, len(bins)))}
+    for x, b, y, fitted, n in data:
+        if not fitted:
+            for key in {None, x}:
+                tables.setdefault(key, np.zeros((2, len(bins))))[y, at[b]] += n * whole[y] / free[y]
+    prior = tables[None] * PSEUDO / tables[None][1].sum()
+    return {x: best_threshold(bins, *(t if x is None else t + prior)[::-1]) for x, t in tables.items()}
+
+
+def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    return known.groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[Classifier, DataFrame]:
+    """(the classifier without thresholds, ids that it was fitted on).
 
-    Rows with a null label, id or text are left out; an id that is labelled twice counts as toxic if one
-    label says so. Without labels of both classes the classifier calls nothing toxic."""
-    light = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
+    At most rows labelled texts of size bytes in all, those of the least id hashes in each class. Rows with a null
+    label, id or text are left out; an id that is labelled twice counts as toxic if one label says so."""
+    light = _labelled(labels, id_col, label_col).where(F.pmod(F.xxhash64("i", F.lit(SEED)), F.lit(HELD_OUT)) != 0)
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
-    chosen = light.withColumn("r", rank).where(F.col("r") <= rows // 2)
-    held = F.pmod(F.xxhash64("i", F.lit(SEED)), F.lit(HELD_OUT)) == 0
+    chosen = light.withColumn("r", rank).where(F.col("r") <= rows // 2).drop("r")
+    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     # the chosen ids are at most rows, so they may be broadcast
-    found = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == F.col("i"))
-    table = found.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), "y", held.alias("h"), "i").toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
-    text, lang, y, h = (table.column(i).to_pylist() for i in range(4))
-    fit = [i for i in range(len(h)) if not h[i]]
-    test = [i for i in range(len(h)) if h[i]]
-    model = Classifier().fit([text[i] for i in fit], [y[i] for i in fit])
-    if len({y[i] for i in fit}) < 2:
+    found = texts.join(F.broadcast(chosen), F.col("d") == F.col("i"))
+    before = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", "t").rowsBetween(Window.unboundedPreceding, -1))
+    table = found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size // 2).select("i", "t", "y").toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
+    text, y = table.column(1).to_pylist(), table.column(2).to_pylist()
+    model = Classifier().fit(text, y)
+    if len(set(y)) < 2:
         model.bias = np.float32(-20.0)
-        return model
-    return model.calibrate([text[i] for i in test], [y[i] for i in test], [lang[i] for i in test]) if test else model
+    ids = docs.sparkSession.createDataFrame([(x,) for x in set(table.column(0).to_pylist())], f"i {docs.schema[id_col].dataType.simpleString()}")
+    return model, ids
 
 
-def classify(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", language: Column | str = "lang") -> DataFrame:
-    """(id, score, toxic) for each row: the probability, and whether it reaches the language's threshold.
+def calibrate(scored: DataFrame, labels: DataFrame, fitted: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> dict[str | None, float]:
+    """Thresholds by language, see thresholds(), from all labelled rows of scored (id, score, language)."""
+    z = F.log(F.greatest("score", F.lit(1e-12)) / F.greatest(1 - F.col("score"), F.lit(1e-12)))
+    step = F.floor(F.greatest(F.least(z, F.lit(float(SPAN))), F.lit(-float(SPAN))) * STEPS).cast("long")
+    rows = scored.select(F.col(id_col).alias("d"), step.alias("b"), "language")
+    known = rows.join(_labelled(labels, id_col, label_col), F.col("d") == F.col("i")).drop("i")
+    # the fitted ids are at most TRAIN_ROWS
+    seen = known.join(F.broadcast(fitted.select(F.col("i"), F.lit(True).alias("f"))), F.col("d") == F.col("i"), "left")
+    counts = seen.groupBy("language", "b", "y", F.coalesce("f", F.lit(False)).alias("f")).count().collect()  # languages x steps
+    return thresholds([tuple(r) for r in counts])
 
-    A null language, or one without a threshold of its own, has that of all. A null or empty text, or
-    one without words, has score 0 and isn't toxic. Each row is judged by itself, so repeated rows and
-    null ids stay; texts are read whole; an empty table gives an empty one, other columns are left out.
-    """
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Classifier:
+    """A classifier fitted on a bounded sample, see fit(), whose thresholds come from all other labelled rows.
+
+    Without labels of both classes it calls nothing toxic. Labels of ids that docs doesn't have count nowhere."""
+    model, fitted = fit(docs, labels, id_col, text_col, label_col, rows)
+    known = docs.join(_labelled(labels, id_col, label_col).select(F.col("i").alias("i_of_label")), docs[id_col] == F.col("i_of_label"), "left_semi")
+    model.thresholds = calibrate(scores(known, model, id_col, text_col, lang_col), labels, fitted, id_col, label_col)
+    return model
+
+
+def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", language: Column | str = "lang") -> DataFrame:
+    """(id, score, language, words) for each row: the probability, and whether there are words. See classify()."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the hashed tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in pieces(batches, 1, 8_000_000):
             codes, counts, rows = hashed(b.column(1).to_pylist())
-            score = model.scores(codes, counts, rows)
-            limit = np.array([model.thresholds.get(x, model.thresholds[None]) for x in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= limit) & (counts > 0))], [id_col, "score", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(codes, counts, rows)), b.column(2), pa.array(counts > 0)], [id_col, "score", "language", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     lang = F.col(language) if isinstance(language, str) else language
-    return docs.select(F.col(id_col), F.col(text_col), lang.cast("string").alias("language_")).mapInArrow(run, f"`{id_col}` {kind}, score double, toxic boolean")
+    return docs.select(F.col(id_col), F.col(text_col), lang.cast("string").alias("language_")).mapInArrow(run, f"`{id_col}` {kind}, score double, language string, words boolean")
+
+
+def judged(scored: DataFrame, limits: dict[str | None, float], id_col: str = "doc_id") -> DataFrame:
+    """(id, score, toxic) of scores(), by each language's threshold."""
+    own = F.create_map(*[F.lit(x) for k, v in limits.items() if k is not None for x in (k, v)]) if len(limits) > 1 else None
+    limit = F.lit(limits[None]) if own is None else F.coalesce(own[F.col("language")], F.lit(limits[None]))
+    return scored.select(id_col, "score", ((F.col("score") >= limit) & F.col("words")).alias("toxic"))
+
+
+def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> DataFrame:
+    """classify(docs, train(docs, labels)), with every row scored once."""
+    model, fitted = fit(docs, labels, id_col, text_col, label_col)
+    scored = written(scores(docs, model, id_col, text_col, lang_col))
+    return judged(scored, calibrate(scored, labels, fitted, id_col, label_col), id_col)
+
+
+def classify(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", language: Column | str = "lang") -> DataFrame:
+    """(id, score, toxic) for each row: the probability, and whether it reaches the language's threshold.
+
+    A text at its threshold is toxic. A null language, or one without a threshold of its own, has that of
+    all. A null or empty text, or one without words, has score 0 and isn't toxic. Each row is judged by itself, so repeated rows and
+    null ids stay; texts are read whole; an empty table gives an empty one, other columns are left out.
+    """
+    return judged(scores(docs, model, id_col, text_col, language), model.thresholds, id_col)

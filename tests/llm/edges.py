@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import types as T
 
-CLASHES = "id ids text_ route block kind seq data score keep kept_ language language_ group_id label sketch region same fingerprint near_id distance bin_id start piece piece_start length bucket rank rules n_ids decoded n_tokens covered longest repetition_ posterior toxic declared host ll".split()
+CLASHES = "id ids text_ route block kind seq data score keep kept_ language language_ group_id label sketch region same fingerprint near_id distance bin_id start piece piece_start length bucket rank rules n_ids decoded n_tokens covered longest repetition_ posterior toxic declared host ll i y t d f b k l words q c canonical_url blocked url tail hashed deeper cut common alike size unit first row_ h offset".split()
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.IntegerType()) for c in CLASHES]

@@ -385,10 +385,52 @@ def test_toxicity_held_out():
             w[r.randint(0, 39)] = r.choice(bad)
         texts.append(" ".join(w))
         toxic.append(int(k % 3 == 0))
-    model = toxicity.Classifier().fit(texts[:600], toxic[:600]).calibrate(texts[600:750], toxic[600:750], ["xx"] * 75 + [None] * 75)
-    score = model.scores(*toxicity.hashed(texts[750:]))
-    said = score >= model.thresholds[None]
-    assert np.mean(said == np.array(toxic[750:], bool)) > 0.97 and "xx" in model.thresholds
+    model = toxicity.Classifier().fit(texts[:600], toxic[:600])
+    score = model.scores(*toxicity.hashed(texts))
+    step = np.floor(np.log(score / (1 - score)) * toxicity.STEPS).astype(int)
+    limit = toxicity.thresholds([("xx" if k % 2 else None, int(step[k]), toxic[k], k < 600, 1) for k in range(750)])
+    said = score[750:] >= limit[None]
+    assert np.mean(said == np.array(toxic[750:], bool)) > 0.97 and set(limit) == {None, "xx"}
+
+
+def test_thresholds_by_brute_force():
+    """The best F1 of all cuts, classes at their natural ratio, and languages drawn to all by degrees."""
+    r = random.Random(11)
+    for _ in range(60):
+        rows = [(r.choice(["a", "b", None]), r.randint(-5, 5), r.randint(0, 1), r.random() < 0.3, r.randint(1, 5)) for _ in range(r.randint(0, 40))]
+        limit = toxicity.thresholds(rows)
+        whole = [sum(n for _, _, y, _, n in rows if y == k) for k in (0, 1)]
+        free = [sum(n for _, _, y, f, n in rows if y == k and not f) for k in (0, 1)]
+        if not min(free):
+            assert limit == {None: 0.5}
+            continue
+
+        def f1(cut, language):
+            hits = found = real = 0.0
+            for x, b, y, f, n in rows:
+                w = 0 if f else n * whole[y] / free[y]
+                w = w * (toxicity.PSEUDO / whole[1] + (x == language)) if language else w
+                score = 1 / (1 + np.exp(-b / toxicity.STEPS))
+                hits, found, real = hits + w * y * (score >= cut), found + w * (score >= cut), real + w * y
+            return 2 * hits / (found + real)
+
+        for language, cut in limit.items():
+            cuts = [1 / (1 + np.exp(-b / toxicity.STEPS)) - 1e-9 for b in range(-5, 7)]
+            assert abs(f1(cut, language) - max(f1(c, language) for c in cuts)) < 1e-9
+    assert toxicity.thresholds([("a", 3, 1, False, 4), ("a", 3, 0, False, 4)])[None] == 1 / (1 + np.exp(-3 / toxicity.STEPS))
+
+
+def test_toxicity_detects(spark):
+    """The query's form is training and classifying; columns may have any names; all labelled rows count."""
+    texts = [(k, edges.prose(6000 + k, 30) + (" scum wretch " if k % 4 == 0 else " ") + edges.prose(k, 5), "en" if k % 3 else "fr", k) for k in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, i int").selectExpr("*", "1 as y", "2 as t", "3 as d", "4 as f", "5 as b", "6 as words")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] + [(None, 1), (9999, 1), (3, None)], "doc_id long, toxic int").selectExpr("*", "1 as y", "2 as i")
+    rows = {r.doc_id: r.toxic for r in toxicity.detect(docs, labels).collect()}
+    assert np.mean([rows[k] == (k % 4 == 0) for k in range(400)]) > 0.98 and len(rows) == 400
+    model = toxicity.train(docs, labels)
+    assert {r.doc_id: r.toxic for r in toxicity.classify(docs, model).collect()} == rows
+    small, ids = toxicity.fit(docs, labels, rows=100, size=5000)
+    assert 2 <= ids.count() <= 60
 
 
 def test_toxicity_scores_by_loops():
