@@ -69,7 +69,8 @@ def simhash(texts: list[str | None]) -> list[int | None]:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) for each row of docs."""
+    """(id, fingerprint) for each row of docs; null for a null text or one without words. Texts are read whole,
+    repeated rows and null ids stay, an empty table gives an empty one, and other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
@@ -111,7 +112,8 @@ def near_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
     near_id is the least id among the documents of that fingerprint; the document's own fingerprint is
     one of them, at distance 0, so copies meet in their least id and thousands of them cost no pairs.
-    A document without words (null, empty) gives one row of null fingerprint, near_id and distance.
+    A document without words (null, empty) gives one row of null fingerprint, near_id and distance. A text of any
+    length votes with all its terms, and a tie of votes clears the bit.
     Repeated rows stay, ids that are null have rows but are no near_id, an empty table gives an empty
     one, and other columns are left out whatever their names.
     """

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmill.session import written
+from siltmill.session import discard, written
 
 #: Labelled rows of a language that the text model is fitted on, at most.
 ROWS_PER_LANGUAGE = 400
-#: Languages with fewer labelled rows are left out.
-LEAST_ROWS = 20
+#: Bytes of their texts, at most, but for one text.
+BYTES_PER_LANGUAGE = 1 << 22
 HASH_BITS = 16
 #: Text evidence counts by so much: triples that overlap aren't independent.
 TEMPER = 0.3
@@ -72,7 +72,7 @@ class TextModel:
         by: dict[str, list[str]] = {}
         for text, language in rows:
             by.setdefault(language, []).append(text)
-        languages = sorted(k for k, v in by.items() if len(v) >= min(LEAST_ROWS, max(map(len, by.values()))))
+        languages = sorted(by)
         size = 1 << HASH_BITS
         table = np.empty((size, len(languages) + 1), np.float32)
         for i, language in enumerate(languages):
@@ -93,14 +93,19 @@ class TextModel:
         return out
 
 
-def fit_text_model(docs: DataFrame, text_col: str, label_col: str, id_col: str, rows: int = ROWS_PER_LANGUAGE) -> TextModel:
-    """Fit on at most rows texts of each label, those of the least id hashes. Null labels and texts are left out."""
-    key = F.xxhash64(F.col(id_col))
-    light = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("l"), key.alias("k"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("k", "i"))
-    chosen = [r.i for r in light.withColumn("r", rank).where(F.col("r") <= rows).select("i").collect()]
-    found = docs.where(F.col(id_col).isin(chosen) & F.col(text_col).isNotNull()).select(text_col, label_col).collect() if chosen else []
-    return TextModel.fit([(r[0], r[1]) for r in found if r[1] is not None])
+def fit_text_model(docs: DataFrame, text_col: str, label_col: str, id_col: str, rows: int = ROWS_PER_LANGUAGE, size: int = BYTES_PER_LANGUAGE) -> TextModel:
+    """Fit on at most rows texts of each label and size bytes of them, those of the least id hashes.
+
+    Every label is a language, however few its rows. Null and empty labels, null ids and null texts are left out."""
+    light = docs.select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l")).where(F.col("i").isNotNull() & (F.col("l") != ""))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
+    chosen = written(light.withColumn("r", rank).where(F.col("r") <= rows).select("i", "l"))  # its size is known where it is joined
+    texts = docs.select(F.col(id_col).alias("d"), F.col(label_col).cast("string").alias("m"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    found = texts.join(chosen, (F.col("d") == F.col("i")) & (F.col("m") == F.col("l")), "left_semi")
+    before = F.sum(F.octet_length("t")).over(Window.partitionBy("m").orderBy(F.xxhash64("d"), "d", "t").rowsBetween(Window.unboundedPreceding, -1))
+    kept = found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size).select("t", "m").collect()
+    discard(chosen)
+    return TextModel.fit([(r.t, r.m) for r in kept])
 
 
 def host_of(url: Column) -> Column:
@@ -123,57 +128,38 @@ def _shares(counts: DataFrame, key: list[str], parent: DataFrame | None, n: int)
     return joined.select(*key, p.alias("p"))
 
 
-def identify(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    declared: Column | None = None,
-    host: Column | None = None,
-    model: TextModel | None = None,
-    label_col: str = "lang",
-    least_posterior: float = LEAST_POSTERIOR,
-) -> DataFrame:
-    """(id, language, posterior, keep) for each row.
-
-    declared is the column of the language that the markup declares, host the one of the host's name;
-    either may be null, in all rows or some, and says nothing there. The text model is fitted on
-    label_col where none is given. language is the likeliest one ('und': none), ties going to the
-    first by name; keep says that it is a language with least_posterior. A null or empty text, or one
-    without letters, is judged by the other evidence; with none at all it has the table's own shares,
-    and without any row that says something all are alike. Each row is judged by itself, so repeated
-    rows and null ids stay; an empty table gives an empty one, other columns are left out.
-    """
-    if model is None:
-        model = fit_text_model(docs, text_col, label_col, id_col)
-    languages, n = model.languages, len(model.languages)
+def _evidence(docs: DataFrame, id_col: str, text_col: str, declared: Column | None, host: Column | None, model: TextModel, row: bool = False) -> DataFrame:
+    """(id, ll, declared, host, domain, suffix) of each row of docs, and with row all its columns in row_."""
+    n = len(model.languages)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the hashed table
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         for col in batches:
+            parts = [pa.array([], pa.list_(pa.float64()))]
             for at in range(0, len(col), 1000):
                 part = col.slice(at, 1000)
                 ll = model.log_likelihood(part.to_pylist()) * TEMPER
-                yield pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, n), pa.int32()), pa.array((ll - ll.max(1, keepdims=True)).ravel()))
-
-    def chunked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for col in batches:
-            yield pa.concat_arrays(list(run(iter([col])))) if len(col) else pa.array([], pa.list_(pa.float64()))
+                parts.append(pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, n), pa.int32()), pa.array((ll - ll.max(1, keepdims=True)).ravel())))
+            yield pa.concat_arrays(parts)
 
     none = F.lit(None).cast("string")
     host = (none if host is None else host).cast("string")
     parts = F.split(host, r"\.")
     many = F.size(parts)
-    light = written(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.arrow_udf(chunked, "array<double>")(F.col(text_col)).alias("ll"),
-            F.lower((none if declared is None else declared).cast("string")).alias("declared"),
-            host.alias("host"),
-            F.when(many >= 2, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(host).alias("domain"),
-            F.when((many >= 2) & (F.element_at(parts, -1) != ""), F.element_at(parts, -1)).alias("suffix"),
-        )
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.arrow_udf(run, "array<double>")(F.col(text_col)).alias("ll"),
+        F.lower((none if declared is None else declared).cast("string")).alias("declared"),
+        host.alias("host"),
+        F.when(many >= 2, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(host).alias("domain"),
+        F.when((many >= 2) & (F.element_at(parts, -1) != ""), F.element_at(parts, -1)).alias("suffix"),
+        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")] * row,
     )
+
+
+def _learned(light: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((host, hp), (declared, d), (ap)): what all rows of light say of hosts, declarations, and in general."""
     # the text's own posterior for every row is what the counts below add up
     top = F.array_max("ll")
     e = F.transform("ll", lambda x: F.exp(x - top))
@@ -197,29 +183,65 @@ def identify(
     said = told.where(whole > 0).crossJoin(sums).select(
         "declared", F.array(*[F.log((F.col(f"s{i}") + whole / overall) / (F.coalesce(F.col(f"t{i}"), F.lit(0.0)) + 1.0)) for i in range(n)]).alias("d")
     )
+    # written, so that their sizes are known where they are joined
+    out = written(hosts.select("host", F.col("p").alias("hp"))), written(said), all_.select(F.col("p").alias("ap"))
+    return out
+
+
+def _fused(light: DataFrame, learned: tuple[DataFrame, DataFrame, DataFrame], languages: list[str], least_posterior: float, *carry: str) -> DataFrame:
+    """(carry, language, posterior, keep) of each row of light."""
+    hosts, said, all_ = learned
+    n = len(languages)
     prior = F.coalesce(F.col("hp"), F.col("ap"), F.array(*[F.lit(1.0 / n)] * n))
-    fused = (
-        light.join(hosts.select("host", F.col("p").alias("hp")), "host", "left")
-        .join(said, "declared", "left")
-        .join(F.broadcast(all_.select(F.col("p").alias("ap"))), how="left")
-    )
+    fused = light.join(hosts, "host", "left").join(said, "declared", "left").join(F.broadcast(all_), how="left")  # all_ is one row
     zero = F.array(*[F.lit(0.0)] * n)
     d = F.coalesce(F.col("d"), zero)
     score = F.array(*[F.col("ll")[i] + F.log(prior[i]) + d[i] for i in range(n)])
     best = F.array_max("score")
-    scored = fused.select("id", score.alias("score"))
+    scored = fused.select(*carry, score.alias("score"))
     posterior = 1.0 / F.aggregate(F.transform("score", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, b: a + b)
     names = F.array(*[F.lit(x) for x in languages])
-    out = scored.select(F.col("id").alias(id_col), F.element_at(names, F.array_position("score", best).cast("int")).alias("language"), posterior.alias("posterior"))
+    out = scored.select(*carry, F.element_at(names, F.array_position("score", best).cast("int")).alias("language"), posterior.alias("posterior"))
     return out.withColumn("keep", (F.col("language") != NONE) & (F.col("posterior") >= least_posterior))
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose language is known, with its columns; see identify().
+def identify(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    declared: Column | None = None,
+    host: Column | None = None,
+    model: TextModel | None = None,
+    label_col: str = "lang",
+    least_posterior: float = LEAST_POSTERIOR,
+) -> DataFrame:
+    """(id, language, posterior, keep) for each row.
 
-    An id stands for one document: where rows repeat it, they stay if one of them is kept. Rows whose
-    id is null can't be looked up, and go.
+    declared is the column of the language that the markup declares, host the one of the host's name;
+    either may be null, in all rows or some, and says nothing there. The text model is fitted on
+    label_col where none is given. language is the likeliest one ('und': none), ties going to the
+    first by name; keep says that it is a language with least_posterior. A null or empty text, or one
+    without letters, is judged by the other evidence; with none at all it has the table's own shares,
+    and without any row that says something all are alike. A text of any length counts with all its triples.
+    Each row is judged by itself, so repeated
+    rows and null ids stay; an empty table gives an empty one, other columns are left out.
     """
-    found = identify(docs, id_col, text_col, **how)
-    kept = found.where("keep").select(F.col(id_col).alias("kept_"))
-    return docs.join(kept, docs[id_col] == kept["kept_"], "left_semi")
+    if model is None:
+        model = fit_text_model(docs, text_col, label_col, id_col)
+    light = written(_evidence(docs, id_col, text_col, declared, host, model))
+    found = _fused(light, _learned(light, len(model.languages)), model.languages, least_posterior, "id")
+    return found.withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, model: TextModel | None = None, label_col: str = "lang", least_posterior: float = LEAST_POSTERIOR) -> DataFrame:
+    """The rows of docs whose language is known, with its columns; see identify().
+
+    Each row carries its own decision: null and repeated ids, repeated rows and ties make no difference to it, and
+    texts of any length are read whole. A null or empty text stays where the other evidence tells its language.
+    An empty table gives an empty one. Texts are scored twice, for the counts and for the decision, so that
+    they are neither written nor joined by id."""
+    if model is None:
+        model = fit_text_model(docs, text_col, label_col, id_col)
+    learned = _learned(_evidence(docs, id_col, text_col, declared, host, model), len(model.languages))
+    rows = _evidence(docs, id_col, text_col, declared, host, model, row=True)
+    return _fused(rows, learned, model.languages, least_posterior, "row_").where("keep").select("row_.*")

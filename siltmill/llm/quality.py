@@ -144,7 +144,10 @@ def measure(texts: list[str | None], min_words: int = MIN_WORDS) -> tuple[np.nda
 
 
 def score(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, out_col: str = "repetition") -> DataFrame:
-    """docs with a struct column out_col: covered, longest, keep. See rate()."""
+    """docs with a struct column out_col (covered, longest, keep) for each row, in place of one of this name.
+
+    See rate() for what they say: null and empty texts have zeros and stay, and a text at a limit stays. An empty table
+    gives an empty one; texts are read whole; all rows and other columns are as they were."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
@@ -169,7 +172,9 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limi
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
-    """The rows of docs that the rules keep, with its columns."""
+    """The rows of docs that the rules keep, with its columns whatever their names; see rate().
+
+    Null and empty texts, null ids and repeated rows stay; an empty table gives an empty one."""
     name = "repetition_"
     while name in docs.columns:
         name += "_"

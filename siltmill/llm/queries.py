@@ -27,20 +27,25 @@ def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_read(spark, sf_dir, "documents"))
 
 
-def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents: their lang column is what was declared, their source the host."""
-    return language.identify(_read(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
-
-
-def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw pages: the html tag's lang, the URL's host and its suffix, with the documents' text model."""
-    docs, pages = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages")
-    model = language.fit_text_model(docs, "text", "lang", "doc_id")
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """(page_id, body, told, host) of raw pages: their text, the html tag's lang, and the URL's host."""
     html = F.col("html")
     body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "), r"&[A-Za-z0-9#]+;", " ")
     told = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
-    made = pages.select("page_id", body.alias("body"), F.when(told != "", told).alias("told"), language.host_of(F.col("url")).alias("host"))
-    return language.identify(made, "page_id", "body", declared=F.col("told"), host=F.col("host"), model=model)
+    return pages.select("page_id", body.alias("body"), F.when(told != "", told).alias("told"), language.host_of(F.col("url")).alias("host"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages: what their markup declares, their hosts, domains and suffixes. The text model is fitted on the
+    labels of documents, which are apart from what pages declare."""
+    model = language.fit_text_model(_read(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    pages = page_evidence(_read(spark, sf_dir, "pages"))
+    return language.identify(pages, "page_id", "body", declared=F.col("told"), host=F.col("host"), model=model)
+
+
+def langid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, as in the pipeline: their lang column is what was declared, their source the host."""
+    return language.identify(_read(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltmill.llm import fingerprints, language, near_dedup, packing, queries, toxicity
+from siltmill.llm import fingerprints, language, near_dedup, packing, quality, queries, toxicity
 from siltmill.llm.text import words
 
 from . import edges
@@ -349,32 +349,105 @@ def test_evidence_decides_where_text_is_silent(spark):
     assert len(got) == len(rows) and all(0 < r.posterior <= 1 for r in got.values())
 
 
-def test_language_against_numpy(spark):
-    """The fused posterior by plain loops."""
+def _fused(model, texts, declared, hosts):
+    """(language, posterior) of each row, by plain loops."""
+    n, k = len(model.languages), language.PSEUDO
+    ll = model.log_likelihood(texts) * language.TEMPER
+    ll -= ll.max(1, keepdims=True)
+    soft = np.exp(ll) / np.exp(ll).sum(1, keepdims=True)
+    soft[ll.min(1) == 0] = 0
+    declared = [d.lower() if d is not None else None for d in declared]
+
+    def places(host):
+        parts = host.split(".")
+        return (parts[-1] or None if len(parts) > 1 else None), (".".join(parts[-2:]) if len(parts) > 1 else host)
+
+    where = [(None, None, None) if h is None else (*places(h), h) for h in hosts]
+
+    def smoothed(rows, up):
+        total = sum((soft[i] for i in rows), np.zeros(n))
+        return (total + k * up) / (total.sum() + k)
+
+    everything = range(len(texts))
+    overall = smoothed(everything, np.full(n, 1 / n))
+    told = sum((soft[i] for i in everything if declared[i] is not None), np.zeros(n))
+    out, done = [], {}
+    for i in everything:
+        key = (where[i], declared[i])
+        if key not in done:
+            suffix, domain, host = where[i]
+            prior, d = overall, np.zeros(n)
+            if host is not None:
+                prior = smoothed([j for j in everything if where[j][0] == suffix], overall)
+                prior = smoothed([j for j in everything if where[j][:2] == (suffix, domain)], prior)
+                prior = smoothed([j for j in everything if where[j] == where[i]], prior)
+            if declared[i] is not None:
+                said = sum((soft[j] for j in everything if declared[j] == declared[i]), np.zeros(n))
+                if said.sum() > 0:
+                    d = np.log((said + said.sum() / told.sum()) / (told + 1))
+            done[key] = np.log(prior) + d
+        score = ll[i] + done[key]
+        p = np.exp(score - score.max())
+        out.append((model.languages[int(p.argmax())], 1 / p.sum()))
+    return out
+
+
+def test_language_by_loops(spark):
+    """Documents, where source is a host without domain or suffix."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit_text_model(docs, "text", "lang", "doc_id")
-    n = len(model.languages)
     pdf = docs.toPandas()
-    ll = model.log_likelihood(pdf.text.tolist()) * language.TEMPER
-    soft = np.exp(ll - ll.max(1, keepdims=True))
-    soft /= soft.sum(1, keepdims=True)
-    k = language.PSEUDO
-    all_ = (soft.sum(0) + k / n) / (soft.sum() + k)
-    up = (soft.sum(0) + k * all_) / (soft.sum() + k)  # one suffix: none
-    told = soft.sum(0)
-    want = {}
-    for i, r in enumerate(pdf.itertuples()):
-        mine = (pdf.source == r.source).values
-        domain = (soft[mine].sum(0) + k * up) / (soft[mine].sum() + k)
-        host = (soft[mine].sum(0) + k * domain) / (soft[mine].sum() + k)
-        said = soft[(pdf.lang == r.lang).values].sum(0)
-        score = ll[i] + np.log(host) + np.log((said + said.sum() / told.sum()) / (told + 1))
-        p = np.exp(score - score.max())
-        want[r.doc_id] = (model.languages[int(p.argmax())], 1 / p.sum())
-    for r in language.identify(docs, declared=F.col("lang"), host=F.col("source"), model=model).collect():
+    want = dict(zip(pdf.doc_id.tolist(), _fused(model, pdf.text.tolist(), pdf.lang.tolist(), pdf.source.tolist())))
+    for r in queries.langid_documents(spark, SF).collect():
         assert r.language == want[r.doc_id][0] and abs(r.posterior - want[r.doc_id][1]) < 1e-6
 
 
+def test_language_of_pages_by_loops(spark):
+    """The registered query over whole pages, with several suffixes, domains and hosts, and some without any."""
+    model = language.fit_text_model(spark.read.parquet(f"{SF}/documents.parquet"), "text", "lang", "doc_id")
+    pages = queries.page_evidence(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    assert len({p.host.split(".")[-1] for p in pages if p.host}) > 1 and len({p.told for p in pages}) > 1
+    want = dict(zip([p.page_id for p in pages], _fused(model, [p.body for p in pages], [p.told for p in pages], [p.host for p in pages])))
+    rows = queries.op4_language_id(spark, SF).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert r.language == want[r.page_id][0] and abs(r.posterior - want[r.page_id][1]) < 1e-6
+        assert r.keep == (r.language != language.NONE and r.posterior >= language.LEAST_POSTERIOR)
+
+
+def test_language_levels_by_loops(spark):
+    r = random.Random(21)
+    words_ = {"en": "the of and thing that with".split(), "fr": "le la des une que dans".split(), "xx": "zub zob zab".split()}
+    rows = []
+    for k in range(150):
+        lang = r.choice(["en", "fr"]) if k else "xx"  # one row of a language makes it one
+        host = r.choice([None, "plain", "a.site.com", "b.site.com", "site.fr", "w.x.fr", "odd."])
+        text = r.choice([None, "", "12 34"]) if k % 15 == 1 else " ".join(r.choice(words_[lang]) for _ in range(r.randint(1, 12)))
+        rows.append((k, text, lang, r.choice([None, "EN", "fr", "de"]), host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string, told string, host string")
+    model = language.fit_text_model(docs, "text", "label", "doc_id")
+    assert model.languages == ["en", "fr", "xx", language.NONE]
+    want = _fused(model, *[[x[i] for x in rows] for i in (1, 3, 4)])
+    got = {x.doc_id: x for x in language.identify(docs, declared=F.col("told"), host=F.col("host"), model=model).collect()}
+    for k, (name, p) in enumerate(want):
+        assert abs(got[k].posterior - p) < 1e-6 and (got[k].language == name or p < 0.5 + 1e-6)
+    kept = language.keep_known(docs, declared=F.col("told"), host=F.col("host"), model=model).collect()
+    assert sorted(x.doc_id for x in kept) == sorted(k for k, x in got.items() if x.keep)
+
+
+def test_language_ties_and_rows(spark):
+    """Equal evidence goes to the first name; every row is judged by itself, whatever its id."""
+    model = language.TextModel(["aa", "bb", language.NONE], np.zeros((1 << language.HASH_BITS, 3), np.float32))
+    docs = spark.createDataFrame([(None, "x"), (1, ""), (1, None)], "doc_id long, text string")
+    assert [r.language for r in language.identify(docs, model=model).collect()] == ["aa"] * 3
+    texts = {"en": "the quick thing of the other", "fr": "le chat de la maison des autres"}
+    rows = [(None if k % 2 else 7, texts[x] + " " + edges.prose(k, 3), x) for k in range(60) for x in texts] + [(7, "9 9", None), (None, "8 8", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language.TextModel.fit([(t, x) for x, t in texts.items()] * 20)
+    kept = language.keep_known(docs, model=fitted).collect()
+    assert len(kept) >= 118 and sum(r.doc_id is None for r in kept) >= 59
+
+
 def test_toxicity_held_out():
     r = random.Random(10)
     bad = ["scum", "moron", "wretch", "filth"]
@@ -458,19 +531,89 @@ def test_toxicity_without_labels(spark):
     assert not any(r.toxic for r in toxicity.classify(docs, toxicity.train(docs, labels)).collect())
 
 
-def test_pipeline_stages(spark):
+def _repeats(text, least):
+    """(covered, longest) by sets of word runs."""
+    t = quality._tokens(text)
+    size, n = [len(w) for w in t], len(t)
+
+    def again(m):
+        """Where runs of m words begin that occur twice."""
+        seen = {}
+        for i in range(n - m + 1):
+            seen.setdefault(tuple(t[i : i + m]), []).append(i)
+        return [i for places in seen.values() if len(places) > 1 for i in places]
+
+    marks = {j for i in again(least) for j in range(i, i + least)}
+    longest, m = 0, least
+    while starts := again(m):
+        longest = max(longest, *(sum(size[i : i + m]) for i in starts))
+        m += 1
+    return (sum(size[j] for j in marks) / sum(size), longest / sum(size)) if t else (0.0, 0.0)
+
+
+def _near_groups(texts):
+    """The least id of each text's group, by all pairs' exact similarity."""
+    sets = {}
+    for i, text in texts.items():
+        w = words(text.lower())
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= near_dedup.THRESHOLD * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage and the whole run over the whole table, against loops; with some texts of no language."""
     import corpus_pipeline
 
+    r = random.Random(31)
+    strange = [(90_000 + k, " ".join("".join(chr(r.randint(0x1200, 0x1340)) for _ in range(6)) for _ in range(40)), None, None, 280) for k in range(4)]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = {r.doc_id: r.text for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    docs.unionAll(spark.createDataFrame(strange, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    held = {r.doc_id: r for r in docs.collect()}
+    model = language.fit_text_model(docs, "text", "lang", "doc_id")
+    ids = sorted(held)
+    said = _fused(model, [held[i].text for i in ids], [held[i].lang for i in ids], [held[i].source for i in ids])
+    want = [{i for i, (name, p) in zip(ids, said) if name != language.NONE and p >= language.LEAST_POSTERIOR}]
+    rated = {i: _repeats(held[i].text, quality.MIN_WORDS) for i in want[0]}
+    want.append({i for i, (covered, longest) in rated.items() if covered <= quality.MAX_COVERED and longest <= quality.MAX_LONGEST})
+    want.append({i for i, g in _near_groups({i: held[i].text for i in want[1]}).items() if i == g})
+    for (name, stage), ids in zip(corpus_pipeline.STAGES[:-1], want):
         kept = stage(spark, docs, SF)
         assert kept.columns == docs.columns, name
-        docs = spark.createDataFrame(kept.collect(), docs.schema)
-    ids = {r.doc_id for r in docs.collect()}
-    assert 0 < len(ids) < len(before) and len({before[i] for i in ids}) == len(ids)
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in rows} == {i for i in ids if before[i].split()}
+        rows = kept.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(ids), name
+        assert all(r == held[r.doc_id] for r in rows), name
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert len(held) > len(want[0]) > len(want[1]) > len(want[2]) > 0
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {i for i in want[2] if held[i].text.split()}
+    length = {i: len(words(held[i].text)) for i in want[2]}
+    assert sorted((r.doc_id, r.piece_start, r.length) for r in rows) == sorted((i, a, min(2048, n - a)) for i, n in length.items() for a in range(0, n, 2048))
+    rooms: list = []
+    for n in sorted((r.length for r in rows), reverse=True):  # best fit decreasing, one by one
+        fits = [k for k, room in enumerate(rooms) if room >= n]
+        best = min(fits, key=rooms.__getitem__, default=None)
+        if best is None:
+            rooms.append(2048 - n)
+        else:
+            rooms[best] -= n
+    bins = {}
+    for r in rows:
+        bins[r.bin_id] = bins.get(r.bin_id, 0) + r.length
+    assert max(bins.values()) <= 2048 and len(bins) <= len(rooms)
 
 
 def test_pipeline_edges(spark):
