@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltmill.llm.text import slices
 from siltmill.session import discard, written
 
 #: Labelled rows of a language that the text model is fitted on, at most.
@@ -137,9 +138,8 @@ def _evidence(docs: DataFrame, id_col: str, text_col: str, declared: Column | No
         model = sent.value
         for col in batches:
             parts = [pa.array([], pa.list_(pa.float64()))]
-            for at in range(0, len(col), 1000):
-                part = col.slice(at, 1000)
-                ll = model.log_likelihood(part.to_pylist()) * TEMPER
+            for part in slices(col):
+                ll = model.log_likelihood(part) * TEMPER
                 parts.append(pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, n), pa.int32()), pa.array((ll - ll.max(1, keepdims=True)).ravel())))
             yield pa.concat_arrays(parts)
 

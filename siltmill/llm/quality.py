@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmill.llm.text import Codes, words
+from siltmill.llm.text import Codes, slices, words
 
 #: A repeat counts from so many words.
 MIN_WORDS = 8
@@ -151,7 +151,8 @@ def score(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, m
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
-            covered, longest = measure(col.to_pylist(), min_words)
+            found = [measure(part, min_words) for part in slices(col, 1 << 22)]
+            covered, longest = (np.concatenate([np.empty(0), *(f[k] for f in found)]) for k in (0, 1))
             keep = (covered <= max_covered) & (longest <= max_longest)
             yield pa.StructArray.from_arrays([pa.array(covered), pa.array(longest), pa.array(keep)], ["covered", "longest", "keep"])
 

@@ -22,12 +22,18 @@ def words(text: str) -> list[str]:
     return text.split()
 
 
+def slices(col: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts of an array, some at a time, of about so many bytes; each is whole."""
+    for b in pieces(iter([pa.RecordBatch.from_arrays([col], ["t"])]), 0, size):
+        yield b.column(0).to_pylist()
+
+
 def count_words(text: Column) -> Column:
     """How many words() a text has; null for a null one."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
-            yield pa.array([None if t is None else len(words(t)) for t in col.to_pylist()], pa.int64())
+            yield pa.array([None if t is None else len(words(t)) for part in slices(col) for t in part], pa.int64())
 
     return F.arrow_udf(run, "long")(text)
 

@@ -112,9 +112,9 @@ def test_forest_bounds_regions(spark):
     signed = near_dedup.signatures(docs, "id", "text")
     deeper = near_dedup.full_regions(signed, 50)
     rows, pairs, _ = near_dedup.rare_rows(docs, deeper.select("id"), 50)
-    most = [d.groupBy("region").count().agg(F.max("count")).first()[0] for d in (near_dedup.tree_rows(signed, deeper), rows)]
+    most = [d.groupBy("region").count().agg(F.max("count")).first()[0] for d in (near_dedup.tree_rows(deeper), rows)]
     assert deeper.count() == 600 and most[0] <= 90 and most[1] <= 50
-    assert near_dedup.tree_rows(signed, deeper).count() == 600 * near_dedup.TREES and pairs.count() == 599
+    assert near_dedup.tree_rows(deeper).count() == 600 * near_dedup.TREES and pairs.count() == 599
     assert near_dedup.full_regions(signed, 600) is None
 
 
