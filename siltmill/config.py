@@ -88,5 +88,14 @@ def load_config(path: str) -> Config:
     verify = algorithm.pop("check_false_positive", False)
     if "text_column" not in algorithm:
         raise ValueError("text_column is missing")
-    source = {k: v for k, v in raw["input"].items() if k != "input_type"}
+    source = dict(raw["input"])
+    kind, given = source.pop("input_type", "local_files"), source.pop("read_arguments", {})
+    if kind not in ("local_files", "local_dataset"):
+        raise ValueError(f"input_type is local_files or local_dataset, not {kind}")
+    # arguments that name the place, the kind and the part; the rest are options of the reader
+    for key, mine in (("path", "path"), ("data_files", "path"), ("dataset_path", "path"), ("file_type", "file_type"), ("split", "split")):
+        if key in given:
+            source.setdefault(mine, given.pop(key))
+    drop = ("num_proc", "streaming", "cache_dir", "keep_in_memory", "token", "name", "trust_remote_code")
+    source["options"] = {**{k: str(v) for k, v in given.items() if k not in drop}, **source.get("options", {})}
     return Config(_make(Input, source, "input"), _make(_KINDS[name], algorithm, "algorithm"), _make(Output, raw["output"], "output"), name, verify)

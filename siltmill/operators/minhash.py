@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmill.functions import hashing, text as T
 from siltmill.operators.graph import connected_components
+from siltmill.session import spread, written
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,11 @@ def grams(c: MinHash) -> Column:
 
 def signatures(df: DataFrame, c: MinHash) -> DataFrame:
     """(id, s): for each permutation the least value of all n-grams, the largest there is for none."""
+    return _signed(df, c).select("id", "s")
+
+
+def _signed(df: DataFrame, c: MinHash) -> DataFrame:
+    """(id, s, k): k is a 128-bit hash of s."""
     a, b = hashing.permutations(c.num_perm, c.hash_bits, c.seed)
     one = hashing.hash_text(c.hash_func, min(c.hash_bits, 32))
     bits, top = c.hash_bits, hashing.RINGS[c.hash_bits][1]
@@ -74,18 +81,23 @@ def signatures(df: DataFrame, c: MinHash) -> DataFrame:
                     out[some] = hashing.permuted_minima(h, (np.cumsum(count) - count)[some], a, b, bits)
                 ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(a))
                 lists = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([ids, lists], ["id", "s"]).filter(pa.array(valid))
+                keys = pa.array([xxhash.xxh3_128_digest(row) for row in out], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, lists, keys], ["id", "s", "k"]).filter(pa.array(valid))
 
     kind = df.schema[c.index_column].dataType.simpleString()
     made = df.select(F.col(c.index_column).alias("id"), F.col(c.text_column).alias("text"))
-    return made.mapInArrow(run, f"id {kind}, s array<long>")
+    return spread(made).mapInArrow(run, f"id {kind}, s array<long>, k binary")
 
 
 def band_rows(df: DataFrame, c: MinHash) -> DataFrame:
     """(id, band, value): a row for each document and band; value is the band's part of the signature."""
+    return _bands(signatures(df, c), c)
+
+
+def _bands(signed: DataFrame, c: MinHash) -> DataFrame:
     bands, rows = c.shape
     each = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.slice("s", i * rows + 1, rows))
-    return signatures(df, c).select("id", F.posexplode(each).alias("band", "value"))
+    return signed.select("id", F.posexplode(each).alias("band", "value"))
 
 
 def pair_edges(bands: DataFrame) -> DataFrame:
@@ -98,27 +110,62 @@ def pair_edges(bands: DataFrame) -> DataFrame:
 def star_edges(bands: DataFrame) -> DataFrame:
     """(left, right): each bucket's least id to its others: the same components, and linear in its size.
 
-    A window, not an aggregate and a join, so that signatures are made once."""
-    least = F.min("id").over(Window.partitionBy("band", "value"))
-    return bands.withColumn("left", least).where("id != left").select("left", F.col("id").alias("right")).distinct()
+    Least ids are pre-aggregated before the shuffle, and a full bucket's join can be split; bands should be cheap
+    to read twice."""
+    least = bands.groupBy("band", "value").agg(F.min("id").alias("left"), F.count("*").alias("n")).where("n > 1")
+    return bands.join(least, ["band", "value"]).where("id != left").select("left", F.col("id").alias("right")).distinct()
+
+
+def edges(df: DataFrame, c: MinHash) -> DataFrame:
+    """(left, right): copies of a signature meet in their least id, and only that one goes to buckets."""
+    signed = written(_signed(df, c))
+    firsts = written(signed.groupBy("k").agg(F.min("id").alias("id"), F.min_by("s", "id").alias("s")))
+    same = signed.select("id", "k").join(firsts.select(F.col("id").alias("left"), "k"), "k").where("id != left")
+    return star_edges(_bands(firsts, c)).unionAll(same.select("left", F.col("id").alias("right")))
 
 
 def clusters(df: DataFrame, c: MinHash) -> DataFrame:
     """(id, cluster): the least id of the component, for every document that shares a bucket."""
-    return connected_components(star_edges(band_rows(df, c))).withColumnRenamed("component", "cluster")
+    return connected_components(edges(df, c)).withColumnRenamed("component", "cluster")
 
 
 def assign(df: DataFrame, found: DataFrame, c: MinHash, flag: str | None = "__duplicate__") -> DataFrame:
-    """df with the cluster, its own index where it has none, and a flag on all members."""
-    joined = df.join(found.withColumnsRenamed({"id": c.index_column}), c.index_column, "left")
-    out = joined.withColumn(c.cluster_column, F.coalesce("cluster", c.index_column))
-    return (out.withColumn(flag, F.col("cluster").isNotNull()) if flag else out).drop("cluster")
+    """df with the cluster, its own index where it has none, and a flag on all members; columns of other names stay."""
+    own = found.select(F.col("id").alias(c.index_column), F.col("cluster").alias("__found__"))
+    joined = df.drop(c.cluster_column).join(own, c.index_column, "left")
+    out = joined.withColumn(c.cluster_column, F.coalesce("__found__", c.index_column))
+    return (out.withColumn(flag, F.col("__found__").isNotNull()) if flag else out).drop("__found__")
 
 
 def _members(df: DataFrame, found: DataFrame, c: MinHash) -> DataFrame:
-    """(id, cluster, g): the n-gram sets of clustered documents only."""
-    texts = df.select(F.col(c.index_column).alias("id"), c.text_column).join(found, "id")
-    return texts.select("id", "cluster", F.array_sort(grams(c)).alias("g"))
+    """(id, cluster, g): the n-gram sets of clustered documents only, as sorted 64-bit hashes of their n-grams."""
+    texts = df.select(F.col(c.index_column).alias("id"), F.col(c.text_column).alias("text")).join(found, "id")
+    kind, n, least = df.schema[c.index_column].dataType.simpleString(), c.ngram, c.min_length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [T.word_runs(t, n, least, "minhash") if t is not None else () for t in part.column(2).to_pylist()]
+                h = [np.sort(np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in g), np.uint64, len(g)).view(np.int64)) for g in sets]
+                ends = np.cumsum([0, *map(len, h)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(h) if h else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "cluster", "g"])
+
+    return spread(texts.select("id", "cluster", "text")).mapInArrow(run, f"id {kind}, cluster {kind}, g array<long>")
+
+
+def _matches(sets: DataFrame, threshold: float) -> DataFrame:
+    one = sets.groupBy("cluster", "g").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("size", F.size("g"))
+    a, b = one.alias("a"), one.alias("b")
+    # sets of too different sizes can't be near
+    fit = (F.col("a.size") >= F.col("b.size") * (threshold - 1e-9)) & (F.col("b.size") >= F.col("a.size") * (threshold - 1e-9))
+    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.id") < F.col("b.id")) & fit)
+    both = F.size(F.array_intersect("a.g", "b.g"))
+    share = F.when(F.col("a.size") + F.col("b.size") == 0, F.lit(1.0)).otherwise(both / (F.col("a.size") + F.col("b.size") - both))
+    near = pairs.select(F.col("a.cluster").alias("cluster"), F.col("a.id").alias("left"), F.col("b.id").alias("right"), share.alias("jaccard"))
+    copies = one.where("n > 1").select("cluster", F.col("id").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))
+    return near.unionAll(copies).where(F.col("jaccard") >= threshold)
 
 
 def matches(df: DataFrame, found: DataFrame, c: MinHash, threshold: float | None = None) -> DataFrame:
@@ -127,14 +174,7 @@ def matches(df: DataFrame, found: DataFrame, c: MinHash, threshold: float | None
     Members of equal n-gram sets meet once: pairs are made of a cluster's distinct sets, and copies are
     told by left = right with similarity 1.
     """
-    threshold = c.threshold if threshold is None else threshold
-    sets = _members(df, found, c)
-    one = sets.groupBy("cluster", "g").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    a, b = one.alias("a"), one.alias("b")
-    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.id") < F.col("b.id")))
-    near = pairs.select(F.col("a.cluster").alias("cluster"), F.col("a.id").alias("left"), F.col("b.id").alias("right"), T.jaccard(F.col("a.g"), F.col("b.g")).alias("jaccard"))
-    copies = one.where("n > 1").select("cluster", F.col("id").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))
-    return near.unionAll(copies).where(F.col("jaccard") >= threshold)
+    return _matches(written(_members(df, found, c)), c.threshold if threshold is None else threshold)
 
 
 def verified(df: DataFrame, found: DataFrame, c: MinHash) -> DataFrame:
@@ -142,11 +182,11 @@ def verified(df: DataFrame, found: DataFrame, c: MinHash) -> DataFrame:
 
     The old cluster isn't split even where its matches fall apart.
     """
-    near = matches(df, found, c)
+    sets = written(_members(df, found, c))
+    near = _matches(sets, c.threshold)
     reps = near.select("cluster", F.explode(F.array("left", "right")).alias("rep")).distinct()
-    sets = _members(df, found, c)
     reps_g = sets.join(reps, (sets.id == reps.rep) & (sets.cluster == reps.cluster), "left_semi").select("cluster", "g")
-    good = sets.join(reps_g, ["cluster", "g"], "left_semi").select("id", "cluster")
+    good = written(sets.join(reps_g, ["cluster", "g"], "left_semi").select("id", "cluster"))
     least = good.groupBy("cluster").agg(F.min("id").alias("new"))
     return good.join(least, "cluster").select("id", F.col("new").alias("cluster"))
 

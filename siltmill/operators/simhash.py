@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siltmill.functions import hashing, text as T
 from siltmill.operators.graph import connected_components
 from siltmill.operators.unionfind import UnionFind
-from siltmill.session import written
+from siltmill.session import spread, written
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def signatures(df: DataFrame, c: SimHash) -> DataFrame:
 
     kind = df.schema[c.index_column].dataType.simpleString()
     made = df.select(F.col(c.index_column).alias("id"), F.col(c.text_column).alias("text"))
-    return made.mapInArrow(run, f"id {kind}, hi long, lo long")
+    return spread(made).mapInArrow(run, f"id {kind}, hi long, lo long")
 
 
 def _signed(x: int) -> int:
@@ -149,9 +149,10 @@ def _replay(c: SimHash):
 
 
 def assign(df: DataFrame, found: DataFrame, c: SimHash) -> DataFrame:
-    """df with the cluster, its own index for roots and others, and a flag on those that aren't roots."""
-    joined = df.join(found.withColumnsRenamed({"id": c.index_column}), c.index_column, "left")
-    return joined.withColumn(c.cluster_column, F.coalesce("cluster", c.index_column)).withColumn("__duplicate__", F.col("cluster").isNotNull()).drop("cluster")
+    """df with the cluster, its own index for roots and others, and a flag on those that aren't roots; columns of other names stay."""
+    own = found.select(F.col("id").alias(c.index_column), F.col("cluster").alias("__found__"))
+    joined = df.drop(c.cluster_column).join(own, c.index_column, "left")
+    return joined.withColumn(c.cluster_column, F.coalesce("__found__", c.index_column)).withColumn("__duplicate__", F.col("__found__").isNotNull()).drop("__found__")
 
 
 def verified(df: DataFrame, found: DataFrame, c: SimHash, with_root: bool = True) -> DataFrame:

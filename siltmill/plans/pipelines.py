@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltmill.config import Config
 from siltmill.operators import exact, minhash, simhash, substring
-from siltmill.session import written
+from siltmill.session import discard_all, written
 from siltmill.sources import io
 
 
@@ -62,7 +62,7 @@ def run(spark: SparkSession, config: Config, strict: bool = False) -> dict[str,
     """Load, deduplicate, save; what was counted and how long stages took."""
     timer, c, out = Timer(), config.algorithm, config.output
     with timer("load"):
-        docs = io.load(spark, config.input.path, config.input.file_type, config.input.split, list(config.input.order) if config.input.order else None, **config.input.options)
+        docs = io.load(spark, config.input.path, config.input.file_type, config.input.split, list(config.input.order) if config.input.order else None, c.index_column, **config.input.options)
         before = docs.count()
     found = None
     with timer(config.name):
@@ -71,12 +71,14 @@ def run(spark: SparkSession, config: Config, strict: bool = False) -> dict[str,
         elif config.name == "simhash":
             rows, found = run_simhash(docs, c, config.verify, not out.skip_filtering, strict)
         elif config.name == "bloom_filter":
-            rows = exact.flag_copies(docs, c.text_column)
+            rows = exact.flag_copies(docs, c.text_column, c.index_column)
             rows = rows if out.skip_filtering else rows.where("NOT duplicate")
         else:
-            rows = substring.remove_repeats(docs, c.length_threshold, c.text_column)
+            rows = substring.remove_repeats(docs, c.length_threshold, c.text_column, c.index_column)
     with timer("save"):
-        io.save(rows, out.output_dir, found, keep_index=out.keep_index_column, keep_cluster=out.keep_cluster_column, save_clusters=out.save_clusters)
+        io.save(rows, out.output_dir, found, c.index_column, c.cluster_column, keep_index=out.keep_index_column, keep_cluster=out.keep_cluster_column, save_clusters=out.save_clusters)
         after = spark.read.parquet(f"{out.output_dir}/data").count()
+    if out.clean_cache:
+        discard_all()
     print(timer.report(before=before, after=after))
     return {"before": before, "after": after, **timer.seconds}

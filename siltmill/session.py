@@ -63,12 +63,36 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_path = path  # type: ignore[attr-defined]
+    _tables.append(back)
     return back
 
 
+#: What written() made and nothing has deleted.
+_tables: list[DataFrame] = []
+
+
+def discard_all() -> None:
+    """Delete all tables that written() made in this process, at the end of a run."""
+    while _tables:
+        discard(_tables[-1])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its scan has few splits; a file of one row group would else be one task's work.
+
+    Large inputs have more splits than cores and aren't shuffled, and neither is what was shuffled before. Select the
+    columns that are needed first."""
+    ran = df._jdf.queryExecution()
+    if ran.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if ran.toRdd().getNumPartitions() < 2 * cores else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by written(), once nothing reads it any more."""
     path = getattr(df, "_written_path", None)
+    _tables[:] = [t for t in _tables if t is not df]
     if path:
         jvm = df.sparkSession.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

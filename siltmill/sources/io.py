@@ -24,17 +24,23 @@ def number_rows(df: DataFrame, order: list[str] | None = None, index: str = INDE
     By order: rows are range-partitioned, counted by partition, and numbered within it; there is no
     window over the whole table."""
     if order is None:
-        spark, kind = df.sparkSession, df.schema
-        numbered = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-        return spark.createDataFrame(numbered, kind.add(index, "long"))
+        marked = _keep(df.withColumn("at_", F.monotonically_increasing_id()))
+        marked = marked.withColumn("part_", F.shiftright("at_", 33))
+        before = _before(marked)
+        return marked.join(F.broadcast(before), "part_").withColumn(index, (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("part_", "at_", "before_")
     ranged = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
     ranged = _keep(ranged)
-    counts = ranged.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
+    before = _before(ranged)
     local = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
     return ranged.withColumn("at_", local).join(F.broadcast(before), "part_").withColumn(index, (F.col("before_") + F.col("at_")).cast("long")).drop("part_", "at_", "before_")
 
 
+def _before(df: DataFrame) -> DataFrame:
+    """(part_, before_): how many rows the partitions before hold; a row for each partition."""
+    counts = df.groupBy("part_").agg(F.count("*").alias("n_"))
+    return counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
+
+
 def _keep(df: DataFrame) -> DataFrame:
     from siltmill.session import written
 

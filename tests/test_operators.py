@@ -41,8 +41,9 @@ def test_components(spark):
     for x, root in u.clusters().items():
         groups.setdefault(root, []).append(x)
     want = {x: min(g) for g in groups.values() for x in g}
-    rows = connected_components(spark.createDataFrame([*edges, (None, 1)], "left long, right long")).collect()
-    assert {r.id: r.component for r in rows} == want and len(rows) == len(want)
+    for few in (0, 100_000):  # by rounds of jobs, and at once
+        rows = connected_components(spark.createDataFrame([*edges, (None, 1)], "left long, right long"), few=few).collect()
+        assert {r.id: r.component for r in rows} == want and len(rows) == len(want)
     assert connected_components(spark.createDataFrame([], "left long, right long")).collect() == []
 
 
@@ -231,6 +232,54 @@ def test_stream(spark, tmp_path):
     assert sorted(r.text for r in spark.table("seen").collect()) == ["a", "b"]
 
 
+def test_own_columns_stay(spark):
+    """Columns that runs use names like stay, and the configured names are used."""
+    rows = [(k, f"one two three four five six {k // 2}", k % 3, "x") for k in range(8)]
+    docs = spark.createDataFrame(rows, "rowid long, text string, cluster long, id string")
+    c = minhash.MinHash(num_perm=16, bands=4, rows=4, index_column="rowid", cluster_column="grp")
+    kept, _ = pipelines.run_minhash(docs, c, verify=True)
+    assert {"cluster", "id", "grp"} <= set(kept.columns) and {(r.rowid, r.cluster) for r in kept.collect()} <= {(k, k % 3) for k in range(8)}
+    kept, _ = pipelines.run_simhash(docs, simhash.SimHash(index_column="rowid", cluster_column="grp"), verify=True)
+    assert {"cluster", "id", "grp"} <= set(kept.columns) and kept.count() >= 1
+
+
+def test_configured_names_and_arguments(spark, tmp_path):
+    spark.createDataFrame([(f"a b c d e f {k // 2}",) for k in range(6)], "text string").write.csv(str(tmp_path / "in"), header=True)
+    path = tmp_path / "c.toml"
+    path.write_text(f"""[input]
+input_type = "local_files"
+file_type = "csv"
+[input.read_arguments]
+data_files = "{tmp_path}/in"
+split = "train"
+header = true
+[algorithm]
+algorithm_name = "minhash"
+text_column = "text"
+num_perm = 16
+bands = 4
+rows = 4
+index_column = "rowid"
+cluster_column = "grp"
+[output]
+output_dir = "{tmp_path}/out"
+clean_cache = true
+""")
+    assert pipelines.run(spark, load_config(str(path)))["before"] == 6
+    out = spark.read.parquet(f"{tmp_path}/out/data")
+    assert set(out.columns) == {"text", "__duplicate__"} and out.count() == 3
+
+
+def test_a_text_of_a_third_of_all_rows(spark):
+    """Copies and nulls without end burden no window: each task's share of what is shuffled is small."""
+    docs = spark.range(0, 30_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same six words in each").when(F.col("id") % 3 == 1, F.concat_ws(" ", *[F.hex(F.hash("id", F.lit(k))) for k in range(6)])).alias("text"))
+    flags = exact.flag_copies(docs, index="doc_id")
+    assert "Window" not in flags._jdf.queryExecution().executedPlan().toString()
+    assert flags.where("duplicate").count() == 9_999 and flags.count() == 30_000
+    found = minhash.clusters(docs, minhash.MinHash(num_perm=16, bands=4, rows=4, index_column="doc_id"))
+    assert found.count() == 10_000 and found.where("cluster <> 0").count() == 0
+
+
 def test_exact_rows(spark):
     docs = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (4, None), (5, "")], "__INDEX__ long, text string")
     assert sorted(r["__INDEX__"] for r in exact.keep_first(docs).collect()) == [1, 2, 4, 5]
