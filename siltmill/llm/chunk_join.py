@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from siltmill.llm.text import Codes
 
-#: Hash buckets for distinct chunks: more tasks than this can't share the segmenting.
-BUCKETS = 1024
+#: Hash buckets for distinct chunks, one for BUCKET_INPUT bytes of input within these bounds: as many tasks can share the
+#: segmenting. A block sends a row to each bucket, so that more of them would make rows of single words.
+BUCKETS, MOST_BUCKETS = 1024, 8192
+BUCKET_INPUT = 64 << 20
+#: Bytes of chunks and answers that a task remembers of a bucket. A chunk that comes after they were let go is segmented again.
+MEMO_BYTES = 256 << 20
 BLOCK_CHARS = 1 << 25
 #: Documents in a row of packed ones.
 TOGETHER = 64
@@ -128,6 +132,32 @@ def _answered(ranks: bytes, answers: list[bytes], width: int) -> bytes:
     return _frames([ranks, pack_numbers(lens), *(_squeeze(p.tobytes()) for p in planes)])
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Hash buckets by the planner's estimate of the input; results don't depend on it."""
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(estimate // BUCKET_INPUT, BUCKETS), MOST_BUCKETS)
+
+
+class Memo(dict[bytes, bytes]):
+    """Answers by chunk, emptied before they outgrow MEMO_BYTES."""
+
+    held = 0
+
+    def answers(self, chunks: list[bytes], solve: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The answers to distinct chunks, in order. What isn't known is asked all at once."""
+        new = [c for c in chunks if c not in self]
+        found = dict(zip(new, solve([c.decode() for c in new]))) if new else {}
+        out = [found[c] if c in found else self[c] for c in chunks]
+        size = sum(len(c) + len(a) + 150 for c, a in found.items())
+        if self.held + size > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        if size <= MEMO_BYTES:
+            self.update(found)
+            self.held += size
+        return out
+
+
 class Table:
     """A block's answers by code: the numbers data[start[c] : start[c] + size[c]]."""
 
@@ -165,6 +195,8 @@ def chunk_join(
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"kind int, route long, block long, seq long, ids array<{kind}>, data binary"
     width = np.dtype(dtype).itemsize
+    asked_docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spread = bucket_count(asked_docs)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, seq = TaskContext.get().partitionId(), 0, 0
@@ -180,7 +212,7 @@ def chunk_join(
             rank[np.argsort(-freq, kind="stable")] = np.arange(len(codes))
             single = int((freq > 1).sum())
             chunks = list(codes)
-            buckets = np.fromiter((crc32(c.encode()) for c in chunks), np.int64, len(chunks)) % BUCKETS
+            buckets = np.fromiter((crc32(c.encode()) for c in chunks), np.int64, len(chunks)) % spread
             rows = list(_requests(chunks, rank, buckets))
             if rows:
                 n = len(rows)
@@ -201,7 +233,7 @@ def chunk_join(
                 data = [pack(docs[a:b], single) for a, b in zip(cuts, cuts[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, 2, np.int32)), pa.array((task * 7919 + seqs) % BUCKETS), pa.array(np.full(n, block)), pa.array(seqs), lists, pa.array(data, pa.binary())], NAMES
+                    [pa.array(np.full(n, 2, np.int32)), pa.array((task * 7919 + seqs) % spread), pa.array(np.full(n, block)), pa.array(seqs), lists, pa.array(data, pa.binary())], NAMES
                 )
 
         id_type = None
@@ -226,8 +258,7 @@ def chunk_join(
             yield from flush()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, bytes] = {}
-        now = -1
+        memo, now = Memo(), -1
         for batch in batches:
             kinds = batch.column(0).to_numpy()
             if (kinds == 2).any():
@@ -238,12 +269,9 @@ def chunk_join(
             data = []
             for route, blob in zip(asked.column(1).to_pylist(), asked.column(5).to_pylist()):
                 if route != now:
-                    memo, now = {}, route
+                    memo, now = Memo(), route
                 ranks, chunks = _asked(blob)
-                new = [c for c in chunks if c not in memo]
-                if new:
-                    memo.update(zip(new, solve([c.decode() for c in new])))
-                data.append(_answered(ranks, [memo[c] for c in chunks], width))
+                data.append(_answered(ranks, memo.answers(chunks, solve), width))
             yield pa.RecordBatch.from_arrays([*asked.columns[:5], pa.array(data, pa.binary())], NAMES)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +294,7 @@ def chunk_join(
                     ids = part.column(4).slice(i, 1).flatten()
                     yield pa.RecordBatch.from_arrays([ids, *apply(part.column(5)[i].as_py())], [id_col, *(n for n, _ in out)])
 
-    coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
+    coded = asked_docs.mapInArrow(code, schema)
     met = coded.repartition("route").sortWithinPartitions("route", "kind").mapInArrow(answer, schema)
     home = met.repartition("block").sortWithinPartitions("block", "kind", "seq")
     return home.mapInArrow(merge, f"`{id_col}` {kind}, " + ", ".join(f"`{n}` {t}" for n, t in out))

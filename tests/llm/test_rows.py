@@ -47,6 +47,23 @@ def test_blocks(spark, monkeypatch):
     assert {r.doc_id: r.ids for r in pieces.encode(docs).collect()} == {i: model.encode(t) for i, t in texts}
 
 
+def test_memo_of_any_size_answers_alike(spark, monkeypatch):
+    from siltmill.llm import chunk_join
+
+    solve = lambda chunks: [c.encode() * 2 for c in chunks]
+    asked = [[b"a", b"bc", b"d"], [b"bc", b"e"], [], [b"a", b"d", b"e"]]
+    for most in (0, 350, 1 << 20):
+        monkeypatch.setattr(chunk_join, "MEMO_BYTES", most)
+        memo = chunk_join.Memo()
+        for chunks in asked:
+            assert memo.answers(chunks, solve) == [c * 2 for c in chunks] and memo.held <= most
+    monkeypatch.setattr(chunk_join, "BUCKET_INPUT", 1)  # as many buckets as there may be
+    docs = spark.createDataFrame([(i, edges.prose(i, 30)) for i in range(40)], "doc_id long, text string")
+    assert chunk_join.bucket_count(docs) > chunk_join.BUCKETS
+    model = pieces.load(pieces.DEFAULT_MODEL)
+    assert {r.doc_id: r.ids for r in pieces.encode(docs).collect()} == {i: model.encode(edges.prose(i, 30)) for i in range(40)}
+
+
 def test_counts_are_the_tokenizers(spark):
     whole = token_counts.load()
     by = {r.doc_id: r for r in token_counts.count_tokens(edges.table(spark)).collect() if r.doc_id is not None}
