@@ -71,6 +71,12 @@ def news_text(text: Column | str) -> Column:
     return F.regexp_replace(F.translate(joined, NEWS_SIGNS, ""), r"[^\x00-\x7F]", "")
 
 
+def title_and_abstract(title: Column | str, abstract: Column | str) -> Column:
+    """A paper's title and abstract as one text in lower case; a null counts as empty."""
+    one = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.lower(F.concat(one(title), F.lit(" "), one(abstract)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared part of two sets; two empty ones are equal."""
     shared = F.size(F.array_intersect(a, b))

@@ -59,6 +59,11 @@ def restore_and_merge(spans: DataFrame, bounds: DataFrame, least: int, strategy:
     return merge_intervals(cut, [index], strategy)
 
 
+def total_size(spans: DataFrame) -> DataFrame:
+    """One row, size: the bytes of all spans; those that overlap count each by itself."""
+    return spans.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0).cast("long")).alias("size"))
+
+
 def cut_out(text: Column | str, spans: Column | str) -> Column:
     """The text without the bytes of its spans (array of start, stop); broken UTF-8 at the cuts is dropped.
 

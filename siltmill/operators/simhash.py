@@ -155,15 +155,31 @@ def assign(df: DataFrame, found: DataFrame, c: SimHash) -> DataFrame:
     return joined.withColumn(c.cluster_column, F.coalesce("__found__", c.index_column)).withColumn("__duplicate__", F.col("__found__").isNotNull()).drop("__found__")
 
 
+def _candidates(found: DataFrame, with_root: bool) -> DataFrame:
+    return found.unionAll(found.select("cluster", "cluster").distinct()) if with_root else found
+
+
+def verification_report(df: DataFrame, found: DataFrame, c: SimHash, with_root: bool = True) -> DataFrame:
+    """One row: clusters, candidate_pairs, false_positives, true_positives, true_clusters.
+
+    False positives are the flagged documents that verification leaves in no cluster or makes a root.
+    """
+    n = _candidates(found, with_root).groupBy("cluster").agg(F.count("*").alias("n"))
+    before = n.agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("candidate_pairs"))
+    flagged = found.agg(F.count("*").alias("flagged"))
+    after = verified(df, found, c, with_root).agg(F.count("*").alias("true_positives"), F.countDistinct("cluster").alias("true_clusters"))
+    both = before.crossJoin(flagged).crossJoin(after)  # one row each
+    return both.select("clusters", "candidate_pairs", (F.col("flagged") - F.col("true_positives")).alias("false_positives"), "true_positives", "true_clusters")
+
+
 def verified(df: DataFrame, found: DataFrame, c: SimHash, with_root: bool = True) -> DataFrame:
     """(id, cluster) after comparing n-gram sets within clusters, without roots.
 
     with_root: the root takes part, so that a cluster of two can hold; without, only flagged documents
     are compared. Components are those of the pairs that pass.
     """
-    members = found.unionAll(found.select("cluster", "cluster").distinct()) if with_root else found
-    texts = df.select(F.col(c.index_column).alias("id"), c.text_column).join(members, "id")
-    sets = texts.select("id", "cluster", grams(c).alias("g"))
+    texts = df.select(F.col(c.index_column).alias("id"), c.text_column).join(_candidates(found, with_root), "id")
+    sets = written(texts.select("id", "cluster", grams(c).alias("g")))  # both sides of the join read it
     a, b = sets.alias("a"), sets.alias("b")
     pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.id") < F.col("b.id")))
     near = pairs.where(T.jaccard(F.col("a.g"), F.col("b.g")) >= c.jaccard_threshold).select(F.col("a.id").alias("left"), F.col("b.id").alias("right"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmill.operators.intervals import cut_out, merge_intervals
+from siltmill.session import spread, written
 
 _BASE = np.uint64(0x100000001B3)
 
@@ -66,10 +67,12 @@ def repeated_windows(docs: DataFrame, length: int = 100, text: str = "text", ind
                     [b.column(0).slice(i, 1).take(pa.array(np.zeros(len(cut), np.int64))), pa.array(low[cut].view(np.int64)), pa.array(cut), pa.array(np.append(cut[1:], len(low)))], ["id", "anchor", "first", "last"]
                 )
 
-    runs = base.mapInArrow(find, f"id {kind}, anchor long, first long, last long")
-    # a window repeats only if its anchor stands over two windows at least
-    over = F.sum(F.col("last") - F.col("first")).over(Window.partitionBy("anchor"))
-    some = runs.withColumn("n", over).where("n > 1").groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = spread(base).mapInArrow(find, f"id {kind}, anchor long, first long, last long")
+    # a window repeats only if its anchor stands over two windows at least; counted before the shuffle, and looked up by
+    # a join that may be split, so that a phrase of most documents isn't one task's work
+    runs = written(runs)
+    twice = runs.groupBy("anchor").agg(F.sum(F.col("last") - F.col("first")).alias("n")).where("n > 1").select("anchor")
+    some = runs.join(twice, "anchor", "left_semi").groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,9 +86,9 @@ def repeated_windows(docs: DataFrame, length: int = 100, text: str = "text", ind
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(pa.array(np.zeros(len(starts), np.int64))), pa.array(starts, pa.int64()), pa.array(hashes, pa.binary())], ["id", "start", "hash"])
 
     hashed = base.join(some, "id").select("id", "text", "runs").mapInArrow(hash_, f"id {kind}, start long, hash binary")
-    # windows, so that neither anchors nor hashes are made twice
-    often = hashed.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1")
-    return often.select(F.col("id").alias(index), "start")
+    hashed = written(hashed)
+    often = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    return hashed.join(often, "hash", "left_semi").select(F.col("id").alias(index), "start")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, text: str = "text", index: str = "__INDEX__", strategy: str = "overlapping") -> DataFrame:

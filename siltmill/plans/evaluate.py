@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ def with_roots(clusters: DataFrame) -> DataFrame:
     return clusters.select("id", "cluster").unionAll(clusters.select(F.col("cluster").alias("id"), "cluster")).distinct()
 
 
+def ground_truth(docs: DataFrame, name: str = "core_id", duplicates: str = "labelled_duplicates") -> DataFrame:
+    """(name, truth) of labelled documents: the sets of names that are marked as their duplicates, empty where null."""
+    marked = F.coalesce(F.col(duplicates).cast("array<string>"), F.array().cast("array<string>"))
+    return docs.select(F.col(name).cast("string").alias("name"), F.array_sort(F.array_distinct(marked)).alias("truth"))
+
+
 def compare(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(name, truth, found, class, exact) for each row of truth (name, truth); nulls are empty sets."""
     none = F.array().cast("array<string>")
@@ -45,6 +53,12 @@ def metrics(compared: DataFrame) -> DataFrame:
     return out.withColumn("macro_precision", (F.col("precision_dup") + F.col("precision_non")) / 2)
 
 
+def result_table(results: dict[str, DataFrame]) -> DataFrame:
+    """(algorithm, metrics): a row for each of several runs, whose one-row frames have the same columns."""
+    rows = [one.select(F.lit(name).alias("algorithm"), "*") for name, one in results.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def adjusted_rand(pairs: DataFrame) -> DataFrame:
     """One row, ari, of (truth, found) labels; 1 where both sides are trivial alike."""
     two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)

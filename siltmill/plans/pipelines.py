@@ -58,12 +58,19 @@ def run_simhash(docs: DataFrame, c: simhash.SimHash, verify: bool = False, filte
     return (simhash.remove(flagged) if filtering else flagged), found
 
 
+def _measure(docs: DataFrame, text: str, sized: bool) -> list[int]:
+    """Rows, and the texts' bytes where they are asked for."""
+    size = [F.coalesce(F.sum(F.octet_length(text)), F.lit(0))] if sized else []
+    return list(docs.agg(F.count("*"), *size).first())
+
+
 def run(spark: SparkSession, config: Config, strict: bool = False) -> dict[str, float]:
     """Load, deduplicate, save; what was counted and how long stages took."""
     timer, c, out = Timer(), config.algorithm, config.output
     with timer("load"):
         docs = io.load(spark, config.input.path, config.input.file_type, config.input.split, list(config.input.order) if config.input.order else None, c.index_column, **config.input.options)
-        before = docs.count()
+        sized = ["bytes_before", "bytes_after"] if config.name == "suffix_array" else []
+        before, *bytes_before = _measure(docs, c.text_column, bool(sized))
     found = None
     with timer(config.name):
         if config.name == "minhash":
@@ -77,8 +84,9 @@ def run(spark: SparkSession, config: Config, strict: bool = False) -> dict[str,
             rows = substring.remove_repeats(docs, c.length_threshold, c.text_column, c.index_column)
     with timer("save"):
         io.save(rows, out.output_dir, found, c.index_column, c.cluster_column, keep_index=out.keep_index_column, keep_cluster=out.keep_cluster_column, save_clusters=out.save_clusters)
-        after = spark.read.parquet(f"{out.output_dir}/data").count()
+        after, *bytes_after = _measure(spark.read.parquet(f"{out.output_dir}/data"), c.text_column, bool(sized))
     if out.clean_cache:
         discard_all()
-    print(timer.report(before=before, after=after))
-    return {"before": before, "after": after, **timer.seconds}
+    counts = {"before": before, "after": after, **dict(zip(sized, bytes_before + bytes_after))}
+    print(timer.report(**counts))
+    return {**counts, **timer.seconds}

@@ -61,6 +61,10 @@ def news_preprocess(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.news_text("text").alias("news"))
 
 
+def title_and_abstract(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.title_and_abstract("source", "text").alias("paper"))
+
+
 def exact_dedup_flags(spark, sf_dir):
     return exact.flag_copies(_docs(spark, sf_dir), index="doc_id").select("doc_id", "duplicate")
 
@@ -146,6 +150,17 @@ def simhash_verified_clusters_rootless(spark, sf_dir):
     return simhash.verified(docs, simhash.clusters(docs, SH), SH, with_root=False)
 
 
+def simhash_verified_keep(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    found = simhash.verified(docs, simhash.clusters(docs, SH), SH)
+    return simhash.remove(simhash.assign(docs, found, SH)).select("doc_id", "n_chars")
+
+
+def simhash_report(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return simhash.verification_report(docs, simhash.clusters(docs, SH), SH)
+
+
 def simhash_replay_clusters(spark, sf_dir):
     return simhash.clusters(_docs(spark, sf_dir), SH, roots="replay")
 
@@ -214,6 +229,13 @@ def span_restore_merged(spark, sf_dir):
     return intervals.restore_and_merge(_global_spans(spark, sf_dir), b, 100, "overlapping", "doc_id")
 
 
+def span_restore_size(spark, sf_dir):
+    """Bytes of the restored spans by how they are merged."""
+    b = intervals.boundaries(_docs(spark, sf_dir), index="doc_id")
+    sizes = [intervals.total_size(intervals.restore_and_merge(_global_spans(spark, sf_dir), b, 100, s, "doc_id")).select(F.lit(s).alias("strategy"), "size") for s in ("overlapping", "longest")]
+    return sizes[0].unionAll(sizes[1])
+
+
 def repeated_windows(spark, sf_dir):
     return substring.repeated_windows(_docs(spark, sf_dir), 100, index="doc_id")
 
@@ -253,11 +275,29 @@ def eval_sets(spark, sf_dir):
     return rows.select("name", F.size("truth").cast("long").alias("n_truth"), F.size("found").cast("long").alias("n_found"), "class", "exact", F.round("p", 9).alias("precision"), F.round("r", 9).alias("recall"), F.round(T.f1(F.col("p"), F.col("r")), 9).alias("f1"))
 
 
-def eval_summary(spark, sf_dir):
-    m = evaluate.metrics(_compared(spark, sf_dir))
+def ground_truth(spark, sf_dir):
+    """Copies as marked duplicates, null for documents without any."""
+    marked = _truth(spark, sf_dir).select(F.col("name").alias("core_id"), F.when(F.size("truth") > 0, F.col("truth")).alias("labelled_duplicates"))
+    return evaluate.ground_truth(marked).select("name", F.array_join("truth", ",").alias("truth"))
+
+
+def _metrics(compared):
+    m = evaluate.metrics(compared)
     return m.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in m.dtypes])
 
 
+def result_table(spark, sf_dir):
+    """The metrics of MinHash and SimHash against copies by digest."""
+    docs = _docs(spark, sf_dir)
+    names = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("name"))
+    found = evaluate.predictions(evaluate.with_roots(simhash.clusters(docs, SH)), names)
+    return evaluate.result_table({"MinHash": _metrics(_compared(spark, sf_dir)), "SimHash": _metrics(evaluate.compare(_truth(spark, sf_dir), found))})
+
+
+def eval_summary(spark, sf_dir):
+    return _metrics(_compared(spark, sf_dir))
+
+
 def adjusted_rand(spark, sf_dir):
     docs = _long(spark, sf_dir)
     joined = minhash.assign(docs, minhash.clusters(docs, MH), MH)
@@ -289,6 +329,10 @@ def top_clusters(spark, sf_dir):
     return report.top_clusters(_clustered(spark, sf_dir))
 
 
+def cluster_treemap(spark, sf_dir):
+    return report.treemap(_clustered(spark, sf_dir))
+
+
 def cluster_explore(spark, sf_dir):
     clustered = _clustered(spark, sf_dir)
     best = report.top_clusters(clustered, 1).select("cluster")
@@ -359,15 +403,20 @@ cl AS (SELECT id, min(n) AS cluster FROM wk GROUP BY id)"""
         return scl + f""", mb AS ({members}), m AS (SELECT mb.id, mb.cluster, gs.g FROM mb JOIN gs ON gs.doc_id = mb.id),
 p2 AS (SELECT x.id AS l, y.id AS r, len(list_intersect(x.g, y.g)) AS s, len(x.g) + len(y.g) AS w FROM m x JOIN m y ON x.cluster = y.cluster AND x.id < y.id),
 e2 AS (SELECT l AS a, r AS b FROM p2 WHERE CASE WHEN w = 0 THEN 1.0 ELSE s / (w - s)::DOUBLE END >= 0.5 UNION SELECT r, l FROM p2 WHERE CASE WHEN w = 0 THEN 1.0 ELSE s / (w - s)::DOUBLE END >= 0.5),
-w2 AS (SELECT a AS id, a AS n FROM e2 UNION SELECT w2.id, e2.b FROM w2 JOIN e2 ON w2.n = e2.a)
-SELECT id, min(n) AS cluster FROM w2 GROUP BY id HAVING min(n) <> id"""
+w2 AS (SELECT a AS id, a AS n FROM e2 UNION SELECT w2.id, e2.b FROM w2 JOIN e2 ON w2.n = e2.a),
+vc AS (SELECT id, min(n) AS cluster FROM w2 GROUP BY id HAVING min(n) <> id)"""
+
+    found = " SELECT id, cluster FROM vc"
+    windows = "WITH w AS (SELECT doc_id, s AS start, md5(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(0, strlen(text) - 99)) AS s FROM documents)), rw AS (SELECT doc_id, start FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1)"
 
     spans = "WITH sp AS (SELECT DISTINCT doc_id, start, start + (n_chars + start * 5) % 9 AS stop FROM (SELECT doc_id, n_chars, unnest([0, n_chars % 7, n_chars % 11, n_chars % 13, n_chars % 7]) AS start FROM documents)), rk AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp)"
     bound = "WITH bd AS (SELECT doc_id, (sum(n) OVER (ORDER BY doc_id))::BIGINT - n AS begin_, (sum(n) OVER (ORDER BY doc_id))::BIGINT AS end_ FROM (SELECT doc_id, strlen(text)::BIGINT AS n FROM documents)), sp AS (SELECT begin_ + doc_id % 50 AS start, begin_ + doc_id % 50 + 3000 AS stop FROM bd), cut AS (SELECT doc_id, greatest(start, begin_) - begin_ AS start, least(stop, end_) - begin_ AS stop FROM sp JOIN bd ON start < end_ AND stop > begin_)"
+    merged = ", rk AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT * FROM cut WHERE stop - start >= 100)), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS UNBOUNDED PRECEDING) AS k FROM rk)"
     truth = ", dg AS (SELECT doc_id::VARCHAR AS name, sha256(text) AS k FROM documents), tr AS (SELECT x.name, list_distinct(list(y.name) FILTER (WHERE y.name <> x.name)) AS truth FROM dg x JOIN dg y USING (k) GROUP BY x.name), fd AS (SELECT x.id::VARCHAR AS name, list(y.id::VARCHAR) AS found FROM cl x JOIN cl y ON x.cluster = y.cluster AND x.id <> y.id GROUP BY x.id), ev AS (SELECT name, coalesce(truth, []) AS truth, coalesce(found, []) AS found, len(list_intersect(coalesce(truth, []), coalesce(found, []))) AS s FROM tr LEFT JOIN fd USING (name)), cp AS (SELECT *, CASE WHEN len(found) = 0 AND len(truth) = 0 THEN 'TN' WHEN len(found) = 0 THEN 'FN' WHEN len(truth) > 0 AND s = len(truth) THEN 'TP' ELSE 'FP' END AS class, len(truth) = len(found) AND s = len(truth) AS exact FROM ev)"
     pr = "CASE WHEN len(found) = 0 THEN 0.0 ELSE s / len(found)::DOUBLE END"
     rc = "CASE WHEN len(truth) = 0 THEN 1.0 ELSE s / len(truth)::DOUBLE END"
     share = lambda x, y: f"CASE WHEN {x} + {y} = 0 THEN 0.0 ELSE {x} / ({x} + {y})::DOUBLE END"
+    totals = f", c AS (SELECT count(*) FILTER (WHERE class = 'TP') AS tp, count(*) FILTER (WHERE class = 'FP') AS fp, count(*) FILTER (WHERE class = 'TN') AS tn, count(*) FILTER (WHERE class = 'FN') AS fn, avg(exact::INT) AS accuracy FROM cp), d AS (SELECT *, {share('tp', 'fp')} AS a, {share('tp', 'fn')} AS b, {share('tn', 'fn')} AS c, {share('tn', 'fp')} AS d FROM c) SELECT tp, fp, tn, fn, round(accuracy, 9) AS accuracy, round(a, 9) AS precision_dup, round(b, 9) AS recall_dup, round(c, 9) AS precision_non, round(d, 9) AS recall_non, round((a + c) / 2, 9) AS macro_precision FROM d"
     best = ", bs AS (SELECT x.cluster, x.id, max(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))::DOUBLE) AS best FROM m x JOIN m y ON x.cluster = y.cluster AND x.id <> y.id GROUP BY ALL)"
     norm = r"regexp_replace(regexp_replace(lower(regexp_replace(text, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g')), '\p{Nd}', '0', 'g'), '[\p{P}\p{C}\p{S}]+', '', 'g')"
     signs = T.NEWS_SIGNS.replace("'", "''")
@@ -394,8 +443,11 @@ SELECT id, min(n) AS cluster FROM w2 GROUP BY id HAVING min(n) <> id"""
         "simhash_pairs": spairs + ' SELECT l AS "left", r AS "right", distance FROM pr',
         "simhash_clusters": scl + " SELECT id, cluster FROM cl WHERE id <> cluster",
         "simhash_keep": scl + " SELECT doc_id, n_chars FROM documents LEFT JOIN cl ON cl.id = doc_id WHERE cluster IS NULL OR cluster = doc_id",
-        "simhash_verified_clusters": sver("SELECT id, cluster FROM cl"),
-        "simhash_verified_clusters_rootless": sver("SELECT id, cluster FROM cl WHERE id <> cluster"),
+        "simhash_verified_clusters": sver("SELECT id, cluster FROM cl") + found,
+        "simhash_verified_keep": sver("SELECT id, cluster FROM cl") + " SELECT doc_id, n_chars FROM documents LEFT JOIN vc ON vc.id = doc_id WHERE vc.id IS NULL",
+        "simhash_report": sver("SELECT id, cluster FROM cl") + " SELECT (SELECT count(DISTINCT cluster) FROM mb) AS clusters, (SELECT count(*) FROM p2) AS candidate_pairs, (SELECT count(*) FROM cl WHERE id <> cluster) - (SELECT count(*) FROM vc) AS false_positives, (SELECT count(*) FROM vc) AS true_positives, (SELECT count(DISTINCT cluster) FROM vc) AS true_clusters",
+        "title_and_abstract": "SELECT doc_id, lower(source || ' ' || text) AS paper FROM documents",
+        "simhash_verified_clusters_rootless": sver("SELECT id, cluster FROM cl WHERE id <> cluster") + found,
         "pair_jaccard": pairs + ' SELECT l AS "left", r AS "right", round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))::DOUBLE, 9) AS jaccard FROM pr JOIN lg x ON x.doc_id = l JOIN lg y ON y.doc_id = r',
         "cluster_jaccard": ver + best + " SELECT cluster, id, round(best, 9) AS best, best < 0.7 AS false_positive FROM bs",
         "cluster_jaccard_stats": ver + best + " SELECT cluster, round(avg(best), 9) AS mean, round(min(best), 9) AS least, round(max(best), 9) AS most, round(quantile_cont(best, 0.009), 9) AS p09, round(avg((best < 0.7)::INT), 9) AS false_positive_rate FROM bs GROUP BY cluster",
@@ -403,10 +455,15 @@ SELECT id, min(n) AS cluster FROM w2 GROUP BY id HAVING min(n) <> id"""
         "interval_merge_longest": spans + " SELECT doc_id, start, stop FROM rk WHERE reach IS NULL OR stop > reach",
         "document_boundaries": bound + ' SELECT doc_id, begin_ AS "begin", end_ AS "end" FROM bd',
         "span_restore": bound + " SELECT doc_id, start, stop FROM cut",
-        "span_restore_merged": bound + ", rk AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT * FROM cut WHERE stop - start >= 100)), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS UNBOUNDED PRECEDING) AS k FROM rk) SELECT doc_id, min(start) AS start, max(stop) AS stop FROM g GROUP BY doc_id, k",
+        "span_restore_merged": bound + merged + " SELECT doc_id, min(start) AS start, max(stop) AS stop FROM g GROUP BY doc_id, k",
+        "span_restore_size": bound + merged + " SELECT 'overlapping' AS strategy, coalesce(sum(n), 0)::BIGINT AS size FROM (SELECT max(stop) - min(start) AS n FROM g GROUP BY doc_id, k) UNION ALL SELECT 'longest', coalesce(sum(stop - start), 0)::BIGINT FROM rk WHERE reach IS NULL OR stop > reach",
+        "repeated_windows": windows + " SELECT doc_id, start FROM rw",
+        "repeated_spans": windows + ", g AS (SELECT *, start - lag(start, 1, start - 101) OVER o > 100 AS fresh FROM rw WINDOW o AS (PARTITION BY doc_id ORDER BY start)), k AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY start) AS k FROM g) SELECT doc_id, min(start) AS start, max(start) + 100 AS stop FROM k GROUP BY doc_id, k",
         "components": "WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, n_chars // 1000) AS component, count(*) OVER (PARTITION BY source, n_chars // 1000) AS n FROM documents) SELECT doc_id AS id, component FROM k WHERE n > 1",
         "eval_sets": comps + truth + f", v AS (SELECT *, {pr} AS p, {rc} AS r FROM cp) SELECT name, len(truth) AS n_truth, len(found) AS n_found, class, exact, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM v",
-        "eval_summary": comps + truth + f", c AS (SELECT count(*) FILTER (WHERE class = 'TP') AS tp, count(*) FILTER (WHERE class = 'FP') AS fp, count(*) FILTER (WHERE class = 'TN') AS tn, count(*) FILTER (WHERE class = 'FN') AS fn, avg(exact::INT) AS accuracy FROM cp), d AS (SELECT *, {share('tp', 'fp')} AS a, {share('tp', 'fn')} AS b, {share('tn', 'fn')} AS c, {share('tn', 'fp')} AS d FROM c) SELECT tp, fp, tn, fn, round(accuracy, 9) AS accuracy, round(a, 9) AS precision_dup, round(b, 9) AS recall_dup, round(c, 9) AS precision_non, round(d, 9) AS recall_non, round((a + c) / 2, 9) AS macro_precision FROM d",
+        "eval_summary": comps + truth + totals,
+        "result_table": f"SELECT 'MinHash' AS algorithm, * FROM ({comps + truth + totals}) UNION ALL SELECT 'SimHash', * FROM ({scl + truth + totals})",
+        "ground_truth": "WITH dg AS (SELECT doc_id::VARCHAR AS name, sha256(text) AS k FROM documents) SELECT x.name, coalesce(string_agg(DISTINCT y.name, ',' ORDER BY y.name) FILTER (WHERE y.name <> x.name), '') AS truth FROM dg x JOIN dg y USING (k) GROUP BY x.name",
         "adjusted_rand": clustered + ", cell AS (SELECT sha256(text) AS t, cluster AS f, count(*) AS n FROM ct GROUP BY ALL), q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cell) AS s, (SELECT sum(n) FROM cell) AS n, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM cell GROUP BY t)) AS a, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM cell GROUP BY f)) AS b) SELECT round((s - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 9) AS ari FROM q",
         "cluster_summary": clustered + " SELECT sum(size)::BIGINT AS records, count(*) AS clusters, count(*) FILTER (WHERE size = 1) AS unique_records, count(*) FILTER (WHERE size > 1) AS duplicate_clusters, (sum(size) FILTER (WHERE size > 1))::BIGINT AS duplicate_records, round(avg(size), 9) AS mean_size, max(size) AS max_size, min(size) AS min_size, round((sum(size) - count(*)) / sum(size)::DOUBLE, 9) AS removed_rate FROM sz",
         "cluster_size_hist": clustered + " SELECT size, count(*) AS frequency FROM sz GROUP BY size",
@@ -414,6 +471,7 @@ SELECT id, min(n) AS cluster FROM w2 GROUP BY id HAVING min(n) <> id"""
         "cluster_cumulative": clustered + " SELECT size, (sum(count(*)) OVER (ORDER BY size))::BIGINT AS clusters FROM sz GROUP BY size",
         "cluster_quartiles": clustered + " SELECT quantile_cont(size, 0.0) AS least, quantile_cont(size, 0.25) AS q1, quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.75) AS q3, quantile_cont(size, 1.0) AS most FROM sz",
         "top_clusters": clustered + " SELECT row_number() OVER (ORDER BY size DESC, first) AS rank, cluster, size, sample FROM sz ORDER BY size DESC, first LIMIT 20",
+        "cluster_treemap": clustered + ", tp AS (SELECT cluster, size, sample FROM sz ORDER BY size DESC, first LIMIT 100) SELECT 'Cluster ' || cluster AS label, 'All Clusters' AS parent, size AS value, substr(sample, 1, 50) || '...' AS text FROM tp UNION ALL SELECT 'All Clusters', '', 0, 'Total: ' || sum(size)::BIGINT || ' records' FROM tp",
         "cluster_explore": clustered + " SELECT cluster, id, substr(text, 1, 500) AS preview FROM ct WHERE cluster = (SELECT cluster FROM sz ORDER BY size DESC, first LIMIT 1) ORDER BY id LIMIT 10",
         "text_search": clustered + " SELECT id, cluster, size, substr(text, 1, 200) AS preview FROM ct JOIN sz USING (cluster) WHERE contains(lower(text), 'license') ORDER BY id LIMIT 20",
         "cluster_compare": clustered + ", b AS (SELECT cluster, row_number() OVER (ORDER BY size DESC, first) AS rank FROM sz ORDER BY size DESC, first LIMIT 2) SELECT rank, cluster, id, substr(text, 1, 500) AS preview FROM ct JOIN b USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY id) <= 10",
@@ -421,7 +479,7 @@ SELECT id, min(n) AS cluster FROM w2 GROUP BY id HAVING min(n) <> id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [*_sql(), "xxh3_hashes", "minhash_xxh3_keep", "simhash_replay_clusters", "simhash_xxh3_128_keep", "repeated_windows", "repeated_spans", "substring_dedup"]
+    names = [*_sql(), "xxh3_hashes", "minhash_xxh3_keep", "simhash_replay_clusters", "simhash_xxh3_128_keep", "substring_dedup"]
     return {name: globals()[name] for name in names}
 
 

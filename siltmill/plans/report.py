@@ -59,6 +59,15 @@ def top_clusters(clustered: DataFrame, n: int = 20, sample: int = 100, id: str =
     return best.select(F.row_number().over(Window.orderBy(F.desc("size"), "first")).cast("long").alias("rank"), "cluster", "size", "sample")
 
 
+def treemap(clustered: DataFrame, n: int = 100, sample: int = 50, id: str = "id", text: str = "text") -> DataFrame:
+    """(label, parent, value, text): a root, and the n largest clusters below it with their first text's start."""
+    best = top_clusters(clustered, n, sample, id, text)
+    top = "All Clusters"
+    root = best.agg(F.concat(F.lit("Total: "), F.coalesce(F.sum("size"), F.lit(0)).cast("string"), F.lit(" records")).alias("text"))
+    leaves = best.select(F.concat(F.lit("Cluster "), F.col("cluster").cast("string")).alias("label"), F.lit(top).alias("parent"), F.col("size").alias("value"), F.concat("sample", F.lit("...")).alias("text"))
+    return root.select(F.lit(top).alias("label"), F.lit("").alias("parent"), F.lit(0).cast("long").alias("value"), "text").unionAll(leaves)
+
+
 def explore(clustered: DataFrame, cluster: int, samples: int = 10, preview: int = 500, id: str = "id", text: str = "text") -> DataFrame:
     """(cluster, id, preview): a cluster's first members."""
     return clustered.where(F.col("cluster") == cluster).orderBy(id).limit(samples).select("cluster", id, F.substring(text, 1, preview).alias("preview"))

@@ -68,6 +68,11 @@ def test_news(spark, given, want):
     assert one(spark, T.news_text("t"), t=given) == want
 
 
+def test_title_and_abstract(spark):
+    rows = spark.createDataFrame([("On A", "We Do"), (None, "X"), ("Y", None)], "t string, a string").select(T.title_and_abstract("t", "a").alias("p")).collect()
+    assert [r.p for r in rows] == ["on a we do", " x", "y "]
+
+
 def test_digests(spark):
     assert one(spark, T.digest("t"), t="hello world") == "5eb63bbbe01eeed093cb22bb8f5acdc3"
     assert one(spark, T.digest("t"), t="") == "d41d8cd98f00b204e9800998ecf8427e"

@@ -16,7 +16,7 @@ from siltmill.sources import io
 from siltmill.streaming.exact import first_seen
 
 SF = "/root/testdata/sf0.001"
-SOME = ["token_count", "ngram_count", "digests", "sha1_u32", "normalize_text", "news_preprocess", "exact_dedup_flags", "minhash_bands", "minhash_keep", "minhash_verified_keep", "minhash_report", "simhash_pairs", "simhash_keep", "simhash_verified_clusters", "simhash_verified_clusters_rootless", "cluster_jaccard_stats", "interval_merge_longest", "interval_merge_overlapping", "span_restore_merged", "components", "eval_sets", "eval_summary", "adjusted_rand", "cluster_summary", "cluster_size_bins", "cluster_quartiles", "top_clusters", "cluster_compare", "text_search"]
+SOME = ["token_count", "ngram_count", "digests", "sha1_u32", "normalize_text", "news_preprocess", "exact_dedup_flags", "minhash_bands", "minhash_keep", "minhash_verified_keep", "minhash_report", "simhash_pairs", "simhash_keep", "simhash_verified_clusters", "simhash_verified_clusters_rootless", "simhash_report", "simhash_verified_keep", "title_and_abstract", "ground_truth", "result_table", "repeated_windows", "repeated_spans", "span_restore_size", "cluster_treemap", "cluster_jaccard_stats", "interval_merge_longest", "interval_merge_overlapping", "span_restore_merged", "components", "eval_sets", "eval_summary", "adjusted_rand", "cluster_summary", "cluster_size_bins", "cluster_quartiles", "top_clusters", "cluster_compare", "text_search"]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -192,6 +192,29 @@ def test_predictions(spark):
     assert {r.name: r.found for r in evaluate.predictions(evaluate.with_roots(child), names).collect()} == {"a": ["b"], "b": ["a"]}
 
 
+def test_ground_truth(spark):
+    rows = [("a", ["b", "b", "c"]), ("b", []), ("c", None)]
+    got = evaluate.ground_truth(spark.createDataFrame(rows, "core_id string, labelled_duplicates array<string>")).collect()
+    assert {r.name: r.truth for r in got} == {"a": ["b", "c"], "b": [], "c": []}
+
+
+def test_total_size(spark):
+    spans = spark.createDataFrame([(0, 0, 5), (0, 3, 9), (1, 2, 2)], "__INDEX__ long, start long, stop long")
+    assert intervals.total_size(spans).first().size == 11
+    assert intervals.total_size(spans.where("start > 99")).first().size == 0
+
+
+def test_simhash_report_of_no_clusters(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "__INDEX__ long, text string")
+    c = simhash.SimHash()
+    assert simhash.verification_report(docs, simhash.clusters(docs, c), c).first().asDict() == dict.fromkeys(["clusters", "candidate_pairs", "false_positives", "true_positives", "true_clusters"], 0)
+
+
+def test_treemap_of_nothing(spark):
+    got = report.treemap(spark.createDataFrame([], "id long, cluster long, text string")).collect()
+    assert [tuple(r) for r in got] == [("All Clusters", "", 0, "Total: 0 records")]
+
+
 def test_io(spark, tmp_path):
     rows = [(k * 3 % 10, f"t{k}") for k in range(10)]
     spark.createDataFrame(rows, "k long, text string").repartition(3).write.parquet(str(tmp_path / "in"))
