@@ -10,12 +10,16 @@ isn't compared with the others that are, as the leader joins them.
 Where a passage that very many documents share fills regions, deeper prefixes alone would part near documents.
 So the documents of full regions also meet by min-hashes of their rare shingles, in regions that are small as
 these shingles are rare, and those of the same common shingles meet the shortest of them.
+As all this may still part near documents, an exact join of the documents of full regions follows, which finds
+whatever links their groups: by the rarest shingles of each set where a pair shares a rare one, else by the
+overlaps of all distinct sets of common shingles. So a full region loses no link.
 The sketch only drops what is clearly not near. Every other pair is verified by the Jaccard similarity
 of the two sets themselves; near pairs make edges, and the groups are the connected components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -55,6 +59,11 @@ SLACK = 0.1
 SURE = 0.2
 #: Documents of a region's order whose sets are verified together.
 BLOCK = 512
+#: Distinct sets of common shingles, and shingles of them, on each side of a tile; and sets in its strips. These
+#: change no result.
+TILE = 4096
+TILE_SHINGLES = 1 << 22
+STRIP = 512
 #: Shingles that are looked up at once.
 LOOKED_UP = 1 << 21
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -466,7 +475,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(left, right): those of tree_edges() whose sets of word triples have the threshold's Jaccard similarity.
+    """(left, right): those of pairs (left, right, unit) whose sets of word triples have the threshold's Jaccard similarity.
 
     A document's set goes once to each unit that has a pair of it. Where rows repeat an id, a pair counts
     that some of its texts make.
@@ -481,6 +490,19 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
             at = pa.array(some)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), data], ["id", "units", "data"])
 
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(_wanted(pairs).hint("merge"), "id")
+    sets = texts.select("id", "text", "units").mapInArrow(make, f"id {kind}, units array<long>, data binary")
+    return _verified(pairs, sets, threshold)
+
+
+def _wanted(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("left", "right")).alias("id"), "unit").groupBy("id").agg(F.collect_set("unit").alias("units"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """verified() for sets (id, units, data)."""
+    kind = pairs.schema["left"].dataType.simpleString()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
@@ -518,15 +540,184 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
             ok = pa.array(np.unique(row[overlaps(sets, i, j) >= threshold]))
             yield pa.RecordBatch.from_arrays([left.take(ok), right.take(ok)], ["left", "right"])
 
-    wanted = pairs.select(F.explode(F.array("left", "right")).alias("id"), "unit").groupBy("id").agg(F.collect_set("unit").alias("units"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(wanted.hint("merge"), "id")
-    sets = texts.select("id", "text", "units").mapInArrow(make, f"id {kind}, units array<long>, data binary")
     each = sets.select(F.explode("units").alias("unit"), "id", F.lit(None).cast(kind).alias("other"), "data")
     both = each.unionAll(pairs.select("unit", "left", "right", F.lit(None).cast("binary")))
     together = both.repartition("unit").sortWithinPartitions("unit", F.col("other").asc_nulls_first())
     return together.mapInArrow(compare, f"left {kind}, right {kind}")
 
 
+def class_links(sets: list[np.ndarray], size: np.ndarray, root: np.ndarray, later: np.ndarray | None, threshold: float) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, limit, by, both) of documents by sets of common shingles alone, sets[i] being those of one of size[i] shingles.
+
+    Compared are all pairs, or where later is given, those of one row that is later and one that isn't. edges: as
+    many near pairs as join all that are near and of different roots. A document of the shingles of sets[i] is near
+    by[i], of which it has both[i], up to a size of limit[i]; near no other one if not this one.
+    """
+    count = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(count) - count
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(np.minimum.reduceat(codes, start), kind="stable")  # sets of one passage stand together
+    place = np.full(int(codes.max()) + 1, -1)
+    root, edges = root.copy(), []
+    limit, by, both = np.full(len(sets), -np.inf), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+
+    def strips(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts = [rows[at : at + STRIP] for at in range(0, len(rows), STRIP)]
+        return [(p, np.unique(codes[ragged(start[p], count[p])])) for p in parts]
+
+    def dense(rows: np.ndarray, width: int) -> np.ndarray:
+        at = place[codes[ragged(start[rows], count[rows])]]
+        row = np.repeat(np.arange(len(rows)), count[rows])[at >= 0]
+        out = np.zeros((len(rows), width), np.float32)
+        out[row, at[at >= 0]] = 1
+        return out
+
+    def bound(rows: np.ndarray, others: np.ndarray, shared: np.ndarray) -> None:
+        most = shared * ((1 + threshold) / threshold) - size[others]
+        best = most.argmax(1)
+        each = np.arange(len(rows))
+        better = most[each, best] > limit[rows]
+        rows, each, best = rows[better], each[better], best[better]
+        limit[rows], by[rows], both[rows] = most[each, best], others[best], shared[each, best]
+
+    mine = strips(order if later is None else order[~later[order]])
+    theirs = mine if later is None else strips(order[later[order]])
+    for k, (x, own) in enumerate(mine):
+        for y, other in theirs[k:] if later is None else theirs:
+            met = np.intersect1d(own, other, assume_unique=True)
+            if not len(met):
+                continue
+            shared = np.zeros((len(x), len(y)), np.float32)  # exact for sets of up to 2 ** 24
+            for at in range(0, len(met), HELD):
+                some = met[at : at + HELD]
+                place[some] = np.arange(len(some))
+                shared += dense(x, len(some)) @ dense(y, len(some)).T
+                place[some] = -1
+            shared = shared.astype(np.float64)
+            if x is y:
+                np.fill_diagonal(shared, 0)
+            bound(x, y, shared)
+            if x is not y:
+                bound(y, x, shared.T)
+            near = shared / (size[x][:, None] + size[y] - shared) >= threshold
+            near &= root[x][:, None] != root[y]
+            for r in np.flatnonzero(near.any(1)).tolist():
+                to = y[near[r]]
+                for u, first in zip(*(v.tolist() for v in np.unique(root[to], return_index=True))):
+                    if u != root[x[r]]:
+                        edges.append((int(x[r]), int(to[first])))
+                        root[root == u] = root[x[r]]
+    return edges, limit, by, both
+
+
+def rest(sets: DataFrame, joined: DataFrame, threshold: float = THRESHOLD, full: int = FULL) -> tuple[DataFrame, list[DataFrame]]:
+    """(links, tables behind them): near pairs (left, right) that join all groups (id, component) of joined which any two
+    near documents of sets (id, data) link, an id that joined lacks being its own group. Exact.
+
+    A shingle that more than full sets hold is common. Of a pair that shares a rare one, the rarest shared one is
+    among the first of both sets by rarity, as many as a near pair can't all miss; so such pairs meet by these, and
+    no shingle brings more than full together. What other pairs share are common shingles only: a document near
+    another by these alone is near the shortest one of that one's common shingles, so the shortest of each
+    distinct set are compared with each other, all pairs by tiles, and the others with one that reaches furthest.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+    n_known, width = F.size("held"), F.col("size") - F.ceil(F.col("size") * threshold - 1e-6) + 1
+    counts = written(sets.select(F.explode("data").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    each = sets.select(F.monotonically_increasing_id().alias("row"), "id", F.size("data").alias("size"), "data").select("row", "id", "size", F.explode("data").alias("s"))
+    held = each.join(counts, "s").groupBy("row", "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("held"))
+    known = written(held.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "size", "held"))
+    tables = [counts, known]
+
+    # shingles of one set only come first by rarity, but bring none together
+    firsts = known.withColumn("own", F.col("size") - n_known).withColumn("width", (width - F.col("own")).cast("int")).where(F.col("width") > 0)
+    posts = firsts.select("id", "comp", "size", (F.col("size") - F.col("own")).alias("after"), F.posexplode(F.slice("held", F.lit(1), F.col("width"))).alias("pos", "t")).where(F.col("t.n") <= full)
+    posts = posts.select(F.col("t.s").alias("s"), "id", "comp", "size", (F.col("after") - F.col("pos")).alias("after"))
+    a, b = (posts.select("s", *[F.col(c).alias(c + side) for c in posts.columns[1:]]) for side in "ab")
+    may = F.least("aftera", "afterb") >= (F.col("sizea") + F.col("sizeb")) * (threshold / (1 + threshold)) - 1e-6
+    met = a.join(b, "s").where((F.col("compa") < F.col("compb")) & may)
+    pairs = written(met.groupBy(F.least("ida", "idb").alias("left"), F.greatest("ida", "idb").alias("right")).agg(F.min(F.xxhash64("s")).alias("unit")))
+    tables.append(pairs)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = pa.array([x.values.to_numpy().tobytes() for x in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], ["id", "units", "data"])
+
+    chosen = sets.join(_wanted(pairs), "id").select("id", "units", "data").mapInArrow(pack, f"id {kind}, units array<long>, data binary")
+    links = _verified(pairs, chosen, threshold)
+
+    common = known.select("id", "comp", "size", F.sort_array(F.transform(F.filter("held", lambda t: t["n"] > full), lambda t: t["s"])).alias("common"))
+    common = common.where((F.size("common") > 0) & (F.size("common") >= F.col("size") * threshold - 1e-6)).withColumn("key", F.sha2(F.to_json("common"), 256))
+    classes = written(common.groupBy("key").agg(F.min_by(F.struct("id", "size", "comp"), F.struct("size", "id")).alias("f"), F.first("common").alias("common"), (F.count("*") > 1).alias("more")))
+    tables.append(classes)
+    # within a set of common shingles, the others meet the shortest
+    reach = classes.where("more").select("key", F.col("f.id").alias("by"), F.size("common").alias("both"), F.col("f.size").alias("by_size"))
+    total = classes.agg(F.count("*").alias("n"), F.sum(F.size("common")).alias("s")).first()
+    if total.n > 1:
+        parts = math.ceil(max(total.n / TILE, total.s / TILE_SHINGLES))
+        block = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("long")
+        spread = classes.select(block.alias("block"), "key", "f.id", "f.size", "f.comp", "more", "common", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
+        spread = spread.withColumn("tile", F.least("block", "other") * parts + F.greatest("block", "other")).drop("other")
+        found = written(_tiled(spread, threshold, parts))
+        tables.append(found)
+        links = links.unionAll(found.where(F.col("key").isNull()).select("left", "right"))
+        furthest = found.where(F.col("key").isNotNull()).groupBy("key").agg(F.max_by(F.struct(F.col("right").alias("by"), "both", "by_size"), "limit").alias("r"))
+        reach = reach.unionAll(furthest.select("key", "r.by", "r.both", "r.by_size"))
+    reached = common.join(reach, "key").where((F.col("id") != F.col("by")) & (F.col("both") / (F.col("size") + F.col("by_size") - F.col("both")) >= threshold))
+    return links.unionAll(reached.select("id", "by")), tables
+
+
+def _tiled(spread: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """class_links() of each tile: edges as (left, right), and for each key with more than one document its (right, limit, both, by_size)."""
+    kind = spread.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            tiles = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist(), len(tiles)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x < y:
+                    if held and tiles[x] != last:
+                        yield from solve(pa.Table.from_batches(held))
+                        held = []
+                    held.append(b.slice(x, y - x))
+                    last = tiles[x]
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        tile = table.column(0)[0].as_py()
+        ids, key = table.column(3).combine_chunks(), table.column(2).combine_chunks()
+        block, size, more = (table.column(i).to_numpy() for i in (1, 4, 6))
+        root = table.column(5).combine_chunks().dictionary_encode().indices.to_numpy()
+        sets = [x.values.to_numpy() for x in table.column(7).combine_chunks()]
+        low, high = divmod(tile, parts)
+        later = None if low == high else block == high
+        if later is not None and (later.all() or not later.any()):
+            return
+        edges, limit, by, both = class_links(sets, size.astype(np.int64), root, later, threshold)
+        left, right = np.array(edges, np.int64).reshape(-1, 2).T
+        rows = np.flatnonzero(more & (limit >= size - 1e-6))
+        n, m = len(left), len(rows)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([ids.take(pa.array(left)), pa.nulls(m, ids.type)]),
+                pa.concat_arrays([ids.take(pa.array(right)), ids.take(pa.array(by[rows]))]),
+                pa.concat_arrays([pa.nulls(n, key.type), key.take(pa.array(rows))]),
+                pa.array(np.concatenate([np.zeros(n), limit[rows]])),
+                pa.array(np.concatenate([np.zeros(n, np.int64), both[rows]])),
+                pa.array(np.concatenate([np.zeros(n, np.int64), size[by[rows]]]).astype(np.int64)),
+            ],
+            ["left", "right", "key", "limit", "both", "by_size"],
+        )
+
+    together = spread.select("tile", "block", "key", "id", "size", "comp", "more", "common").repartition("tile").sortWithinPartitions("tile")
+    return together.mapInArrow(run, f"left {kind}, right {kind}, key string, limit double, both long, by_size long")
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", full: int = FULL) -> DataFrame:
     """(id, group_id, keep) for each distinct id: the least id of its group, and whether it is this one.
 
@@ -536,7 +727,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
     in case and white space) meet by their hash and only one enters the forest, however many they are.
     All other edges are verified by the sets. Documents of equal similarity to several are joined to all.
     A text of any length counts with all of its words.
-    No step holds more than about full documents of one passage at once, however many share it.
+    No step holds more than about full documents of one passage at once, however many share it, but for the shortest
+    of each distinct set of common shingles, which meet by tiles; none of the pairs of a full region is left out.
     An empty table gives an empty one; other columns are left out whatever their names.
     """
     signed = written(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
@@ -559,9 +751,17 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
     near = verified(forest, named, threshold, "id", "text")
     stars = some.select("same", "id").join(firsts.select("same", "first"), "same").where(F.col("id") != F.col("first"))
     joined = connected_components(near.unionAll(stars.select(F.col("first").alias("left"), F.col("id").alias("right"))))
-    for t in [firsts, forest, *([deeper] if deeper is not None else []), *tables]:
-        discard(t)  # the edges are written by now
+    discard(firsts), discard(forest)  # the edges are written by now
     named = signed.select("id").distinct().join(joined, "id", "left").withColumn("group_id", F.coalesce("component", "id"))
+    if deeper is not None:
+        links, more = rest(tables[0].select("id", "data"), joined, threshold, full)
+        for side in ("left", "right"):
+            of = joined.select(F.col("id").alias(side), F.col("component").alias("of"))
+            links = links.join(of, side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+        whole = connected_components(links)
+        named = named.join(whole.select(F.col("id").alias("group_id"), F.col("component").alias("whole")), "group_id", "left").withColumn("group_id", F.coalesce("whole", "group_id"))
+        for t in (deeper, *tables, *more):
+            discard(t)
     return named.select(F.col("id").alias(id_col), "group_id", (F.col("id") == F.col("group_id")).alias("keep"))
 
 

@@ -95,6 +95,58 @@ def test_forest_cuts_full_regions(spark):
     assert len(set(group.values())) >= 600
 
 
+@pytest.mark.parametrize("kind", ["rare", "common"])
+def test_forest_loses_no_link_of_full_regions(spark, kind, monkeypatch):
+    """Links that no prefix and hardly any rare min-hash finds: by one rare shingle, or by unlike parts of a passage."""
+    monkeypatch.setattr(near_dedup, "TILE", 60)  # several tiles
+    if kind == "rare":
+        texts = _hot(300, 100, 57, pairs=100, common=1)
+    else:
+        r, hot, texts = random.Random(8), edges.prose(77, 140).split(), []
+        for k in range(300):
+            a = r.randint(0, 50)
+            texts.append((k, " ".join(hot[a : a + r.choice([60, 75, 90])]) + " " + edges.prose(30_000 + k, r.randint(45, 110))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    inside = {r.id for r in near_dedup.full_regions(near_dedup.signatures(docs, "doc_id", "text"), 40).select("id").collect()}
+    group = {r.doc_id: r.group_id for r in near_dedup.groups(docs, full=40).collect()}
+    want = _near_groups({i: t for i, t in texts if i in inside})
+    assert len(inside) > 250 and 20 < len(set(want.values())) < len(inside) - 20
+    firsts = {}
+    for i, g in want.items():
+        assert group[i] == firsts.setdefault(g, group[i])
+    whole = _near_groups(dict(texts))
+    assert all(whole[i] == whole[g] for i, g in group.items())
+
+
+def test_class_links_by_brute_force(monkeypatch):
+    """Components and reach of sets of common shingles, in one block and between two, by small strips."""
+    monkeypatch.setattr(near_dedup, "STRIP", 7)
+    monkeypatch.setattr(near_dedup, "HELD", 5)
+    rng = np.random.RandomState(4)
+    for case in range(40):
+        sets = [np.unique(rng.randint(0, 30, rng.randint(5, 25)) + 30 * rng.randint(0, 2)) for _ in range(30)]
+        size = np.array([len(s) + rng.randint(0, len(s) + 1) for s in sets])
+        root = rng.randint(0, 30, 30)
+        later = rng.random(30) < 0.5 if case % 2 else None
+        both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        met = ~np.eye(30, dtype=bool) if later is None else later[:, None] != later
+        near = met & (both / (size[:, None] + size - both) >= 0.4)
+        got, limit, by, shared = near_dedup.class_links(sets, size, root, later, 0.4)
+        assert all(near[i, j] for i, j in got)
+
+        def joined(pairs):
+            at = root.copy()
+            for i, j in pairs:
+                at[at == at[j]] = at[i]
+            return {tuple(np.flatnonzero(at == x)) for x in at}
+
+        assert joined(got) == joined(np.argwhere(near)) and len(got) == len(set(root)) - len(joined(got))
+        reach = np.where(met & (both > 0), 3.5 * both - size, -np.inf)
+        for i in range(30):
+            assert max(limit[i], 0) == pytest.approx(max(reach[i].max(), 0))
+            assert limit[i] <= 0 or (reach[i, by[i]] == pytest.approx(limit[i]) and shared[i] == both[i, by[i]])
+
+
 @pytest.mark.parametrize("noise", [0.0, 0.02])
 def test_forest_joins_what_a_passage_makes_near(spark, noise):
     """The passage is most of each text, so all are near, whatever the regions hold; some copies of it differ."""
