@@ -10,6 +10,8 @@ by adding lengths and expanding only the symbols that it touches.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ MAGIC = b"RPG1"
 def tokenize(texts: list[str | None], ranks: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, how many each has); a null text counts as empty."""
     encode = load(ranks, pattern).encode_ordinary
-    parts = [np.array(encode(t) if t else [], np.uint32) for t in texts]
+    parts = [np.frombuffer(array("I", encode(t) if t else []), np.uint32) for t in texts]  # sooner than numpy reads a list
     return np.concatenate(parts) if parts else np.empty(0, np.uint32), np.array([len(p) for p in parts], np.int64)
 
 
@@ -71,20 +73,21 @@ def compress(seq: np.ndarray, counts: np.ndarray, base: int, symbols: int = SYMB
         order = order[: len(order) - len(skip)]
         if not len(order):
             break
-        firsts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+        firsts = np.append(0, np.flatnonzero(order[1:] != order[:-1]) + 1)
         freq = np.diff(firsts, append=len(order))
         most = int(freq.max())
         if most < least:
             break
-        picked = np.flatnonzero(freq >= max(least, most * part))
+        picked = np.flatnonzero(freq >= max(least, math.ceil(most * part)))
         if len(picked) < together < len(freq):
             picked = np.flatnonzero(freq >= max(least, np.partition(freq, -together)[-together]))
         picked = picked[np.argsort(-freq[picked], kind="stable")][: symbols - base - made]
         chosen = order[firsts[picked]]
-        left, right = np.zeros(symbols, bool), np.zeros(symbols, bool)
-        left[chosen >> shift] = right[chosen & low] = True
-        there = np.flatnonzero(left[seq[:-1]])
-        there = there[right[seq[there + 1]]]
+        sides = np.zeros(symbols, np.uint8)  # 1: some chosen pair's left symbol, 2: its right one
+        sides[chosen >> shift] = 1
+        sides[chosen & low] |= 2
+        side = sides.take(seq, mode="clip")
+        there = np.flatnonzero((side[:-1] & (side[1:] >> 1)).view(bool))
         mine = keys[there]
         # a table by hash; of two chosen pairs in one slot the rarer waits for a later round
         bits = min(18, (16 * len(chosen)).bit_length())
