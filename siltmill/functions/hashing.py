@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,23 @@ def hash_text(kind: str, bits: int, seed: int = 0):
     raise ValueError(f"unknown hash {kind}")
 
 
+def hash_texts(kind: str, bits: int) -> Callable[[Iterable[bytes]], np.ndarray]:
+    """hash_text() of many texts at once, to unsigned numbers of 64 bits at most."""
+    one = hash_text(kind, bits)
+    if kind == "sha1" and bits in (16, 32, 64):
+        sha1, width = functools.partial(hashlib.sha1, usedforsecurity=False), bits // 8
+
+        def run(texts: Iterable[bytes]) -> np.ndarray:
+            raw = np.frombuffer(b"".join([sha1(x).digest() for x in texts]), np.uint8).reshape(-1, 20)
+            return raw[:, :width].copy().view(f"<u{width}").ravel().astype(np.uint64)
+
+        return run
+    if kind == "xxh3" and bits in (32, 64):
+        mask = np.uint64((1 << bits) - 1)
+        return lambda texts: np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64) & mask
+    return lambda texts: np.fromiter(map(one, texts), np.uint64)
+
+
 def hash_column(text: Column | str, kind: str = "xxh3", bits: int = 64, seed: int = 0) -> Column:
     """Hash of a string: a long up to 64 bits (the bit pattern where the sign bit is set), binary beyond."""
     one = hash_text(kind, bits, seed)
@@ -72,15 +89,30 @@ def permutations(num_perm: int, bits: int = 64, seed: int = 42) -> tuple[np.ndar
     return rng.randint(1, modulus, num_perm, dtype=kind), rng.randint(0, modulus, num_perm, dtype=kind)
 
 
+#: So many hashes are permuted at a time.
+_CACHED = 1 << 14
+
+
 def permuted_minima(hashes: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int = 64) -> np.ndarray:
     """Sets x permutations: the least permuted hash of each set; products wrap at the width."""
     modulus, top = RINGS[bits]
     kind = _DTYPES[bits]
     h = hashes.astype(kind)
     out = np.empty((len(starts), len(a)), kind)
-    for i in range(len(a)):
-        v = ((h * a[i] + b[i]) % kind(modulus)) & kind(top)
-        out[:, i] = np.minimum.reduceat(v, starts)
+    ends, at = np.append(starts[1:], len(h)), 0
+    while at < len(starts):  # sets whose hashes stay in the cache
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _CACHED, "right")))
+        part, first = h[starts[at] : ends[to - 1]], starts[at:to] - starts[at]
+        for i in range(len(a)):
+            v = part * a[i] + b[i]
+            if bits == 64:  # the remainder by 2^61 - 1 in shifts; only its low 32 bits are kept
+                v = (v & kind(modulus)) + (v >> kind(61))
+                v += (v + kind(1)) >> kind(61)
+                v = v.astype(np.uint32)
+            else:
+                v = (v % kind(modulus)) & kind(top)
+            out[at:to, i] = np.minimum.reduceat(v, first)
+        at = to
     return out
 
 

@@ -17,6 +17,14 @@ def tokens(text: Column | str, flavour: str = "minhash") -> Column:
     return F.filter(F.split(F.lower(text), NON_WORD[flavour]), lambda x: x != "")
 
 
+def has_words(text: Column | str, n: int) -> Column:
+    """Whether there are n words at least, as size(tokens()) >= n says, but read no further than the n-th one; null for a null text."""
+    if not 1 <= n <= 100:
+        return F.size(tokens(text)) >= n
+    # lower case makes no word of what is none, nor the other way round
+    return F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(rf"(?U)^\W*+(?:\w++\W++){{{n - 1}}}\w"))
+
+
 def ngrams(words: Column, n: int, min_length: int = 5) -> Column:
     """Runs of n words joined by spaces; too short a text has none, one of fewer than n words a single run."""
     if n < 0:

@@ -50,6 +50,7 @@ def signatures(df: DataFrame, c: SimHash) -> DataFrame:
     hi is 0 where f is 64. A null text has no row.
     """
     one, width = hashing.hash_text(c.hash_func, c.f), c.f // 8
+    many = hashing.hash_texts(c.hash_func, c.f) if c.f <= 64 else None
 
     n, least = c.ngram, c.min_length
 
@@ -63,7 +64,8 @@ def signatures(df: DataFrame, c: SimHash) -> DataFrame:
         ids, col = batch.columns
         sets = [T.word_runs(t, n, least, "simhash") for t in col.to_pylist()]
         count = np.fromiter(map(len, sets), np.int64, len(sets))
-        raw = b"".join(one(x.encode()).to_bytes(width, "big") for g in sets for x in g)
+        each = (x.encode() for g in sets for x in g)
+        raw = many(each).astype(">u8").tobytes() if many else b"".join([one(x).to_bytes(width, "big") for x in each])
         bytes_ = np.frombuffer(raw, np.uint8).reshape(-1, width)
         out = np.zeros((len(col), width), np.uint8)
         ends = np.cumsum(count)

@@ -181,3 +181,22 @@ def test_word_runs_are_the_column_form(spark):
         for n, least in ((1, 0), (2, 0), (3, 5), (8, 5), (0, 0)):
             for row in df.select("i", T.ngram_set("t", n, least, flavour).alias("g")).collect():
                 assert list(T.word_runs(texts[row.i], n, least, flavour)) == row.g
+
+
+def test_words_are_counted_no_further_than_needed(spark):
+    r = random.Random(5)
+    texts = [None, "", "a", "-a-b", "Déjà vu! naïve_x ½ x² ‿ क़िला z 42", "İstanbul ΑΣ ẞ ǅ 𝒳"] + ["".join(r.choice(["a", "B", "é,", "--", " ", "\n", "٣"]) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    texts += [f"a{chr(k)}b" for k in range(1, 0x110000) if chr(k).lower() != chr(k)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for n in (0, 1, 2, 5, 200):
+        assert df.where(~T.has_words("t", n).eqNullSafe(F.size(T.tokens("t")) >= n)).count() == 0
+    plan = df.where(T.has_words("t", 5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan  # no list of all words
+
+
+@pytest.mark.parametrize(("kind", "bits"), [("sha1", 16), ("sha1", 32), ("sha1", 64), ("xxh3", 16), ("xxh3", 32), ("xxh3", 64)])
+def test_hashes_of_many_texts(kind, bits):
+    texts = [b"", b"a", "é z".encode(), b"x" * 500]
+    one = hashing.hash_text(kind, bits)
+    assert hashing.hash_texts(kind, bits)(iter(texts)).tolist() == [one(x) for x in texts]
+    assert len(hashing.hash_texts(kind, bits)([])) == 0
