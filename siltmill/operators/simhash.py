@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmill.functions import hashing, text as T
+from siltmill.operators import within
 from siltmill.operators.graph import connected_components
 from siltmill.operators.unionfind import UnionFind
 from siltmill.session import spread, written
@@ -180,11 +181,11 @@ def verified(df: DataFrame, found: DataFrame, c: SimHash, with_root: bool = True
     with_root: the root takes part, so that a cluster of two can hold; without, only flagged documents
     are compared. Components are those of the pairs that pass.
     """
-    texts = df.select(F.col(c.index_column).alias("id"), c.text_column).join(_candidates(found, with_root), "id")
-    sets = written(texts.select("id", "cluster", grams(c).alias("g")))  # both sides of the join read it
-    a, b = sets.alias("a"), sets.alias("b")
-    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.id") < F.col("b.id")))
-    near = pairs.where(T.jaccard(F.col("a.g"), F.col("b.g")) >= c.jaccard_threshold).select(F.col("a.id").alias("left"), F.col("b.id").alias("right"))
+    texts = df.select(F.col(c.index_column).alias("id"), F.col(c.text_column).alias("text")).join(_candidates(found, with_root), "id")
+    sets, one = within.compared(texts, c.ngram, c.min_length, "simhash")
+    near = within.near_edges(sets, one, c.jaccard_threshold)
+    if c.jaccard_threshold <= 1:
+        near = near.unionAll(within.copy_edges(sets, one))
     return connected_components(near).where("id != component").select("id", F.col("component").alias("cluster"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltmill.config import load_config
 from siltmill.functions import hashing
-from siltmill.operators import exact, intervals, minhash, simhash, substring
+from siltmill.operators import exact, intervals, minhash, simhash, substring, within
 from siltmill.operators.graph import connected_components
 from siltmill.operators.unionfind import UnionFind
 from siltmill.plans import evaluate, pipelines, queries, report
@@ -321,3 +321,45 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("block", [300, 2000, within.BLOCK])
+def test_clusters_by_tiles(spark, block):
+    """Best matches and components within clusters, by brute force; small blocks make many tiles of a cluster."""
+    r = random.Random(block)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(60):
+        words = [w if r.random() > 0.1 * (k % 4) else f"x{r.randint(0, 30)}" for w in base[: r.randint(6, 40)]]
+        rows.append((k, k % 3 if k < 57 else 100 + k, None if k == 5 else " ".join(words) if k % 7 else "the same seven words as in others"))
+    df = spark.createDataFrame(rows, "id long, cluster long, text string")
+    grams = lambda t: {tuple(t.split()[i : i + 2]) for i in range(len(t.split()) - 1)}
+    share = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    near = {(a, b): share(t, u) for a, c, t in rows for b, d, u in rows if a != b and c == d and t and u}
+    sets, one = within.compared(df, 2, 5)
+    for threshold in (0.0, 0.6):
+        got = {(x.cluster, bytes(x.k)): x.best for x in within.best_matches(sets, one, threshold, block).collect()}
+        for x in sets.collect():
+            want = max((v for (a, b), v in near.items() if a == x.id and grams(rows[b][2]) != grams(rows[a][2])), default=None)
+            if want is not None and want >= threshold:
+                assert got[x.cluster, bytes(x.k)] == want
+            else:
+                assert got.get((x.cluster, bytes(x.k)), -1) < threshold or want is None
+        edges = within.near_edges(sets, one, threshold, block).unionAll(within.copy_edges(sets, one))
+        joined = UnionFind()
+        for (a, b), v in near.items():
+            if v >= threshold:
+                joined.union(a, b)
+        assert {frozenset(g) for g in _parts((a, joined.find(a)) for a in joined.above)} == {frozenset(g) for g in _parts((x.id, x.component) for x in connected_components(edges).collect())}
+    similar = {x.id: (x.best, x.false_positive) for x in report.cluster_similarity(df, 2, 0.6).collect()}
+    assert set(similar) == set(range(57)) and similar[5] == (None, None)
+    for a in set(range(57)) - {5}:
+        best = max(v for (x, _), v in near.items() if x == a)
+        assert similar[a] == (best, best < 0.6)
+
+
+def _parts(pairs):
+    out = {}
+    for a, root in pairs:
+        out.setdefault(root, set()).add(a)
+    return out.values()
