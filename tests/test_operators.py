@@ -363,3 +363,25 @@ def _parts(pairs):
     for a, root in pairs:
         out.setdefault(root, set()).add(a)
     return out.values()
+
+
+@pytest.mark.parametrize("many", [1, 5_000])
+def test_repeated_ranges(spark, many):
+    """Periodic texts, copies, passages within others, and anchors of many runs, by brute force."""
+    r = random.Random(many)
+    word = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    passage, line = word(70), word(12)
+    texts = ["z" * 200, "ab" * 60, line * 9, passage, passage, word(30) + passage + word(30), word(9) + passage[20:] + word(50), None, "", word(30) + line * 3 + word(40)]
+    texts += [word(25) + passage[r.randint(0, 20) : r.randint(40, 70)] + word(25) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length in (1, 8, 30):
+        seen = {}
+        for k, t in enumerate(texts):
+            data = (t or "").encode()
+            for i in range(len(data) - length + 1):
+                seen.setdefault(data[i : i + length], []).append((k, i))
+        want = sorted(p for places in seen.values() if len(places) > 1 for p in places)
+        got = substring.repeated_ranges(docs, length, index="doc_id", many=many).collect()
+        assert sorted((x.doc_id, s) for x in got for s in range(x.first, x.last)) == want
+    plan = substring.repeated_spans(docs, 30, index="doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "hash" not in plan.lower().replace("hashpartitioning", "")  # no row for each window
