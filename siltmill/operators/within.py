@@ -8,7 +8,7 @@ have them, and by pairs where few do.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,8 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
     return sets.groupBy("cluster", "k").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("size").alias("size"))
 
 
-def _tiles(sets: DataFrame, one: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(cluster, i, j, right, k, id, g), the rows of a tile together; tiles of too different sizes are left out."""
+def _tiles(sets: DataFrame, one: DataFrame, threshold: float, block: int, *more: str) -> DataFrame:
+    """(cluster, i, j, right, k, id, g, more columns of sets), the rows of a tile together; tiles of too different sizes are left out."""
     order = Window.partitionBy("cluster").orderBy("size", "k")
     filled = F.sum(F.col("size") + EACH).over(order.rowsBetween(Window.unboundedPreceding, 0))
     others = F.count("*").over(Window.partitionBy("cluster"))
@@ -64,7 +64,7 @@ def _tiles(sets: DataFrame, one: DataFrame, threshold: float, block: int) -> Dat
     sides = met.select("cluster", F.col("i").alias("b"), F.struct("i", "j", F.lit(False).alias("right")).alias("t")).unionAll(met.where("i < j").select("cluster", F.col("j").alias("b"), F.struct("i", "j", F.lit(True).alias("right")).alias("t")))
     places = sides.groupBy("cluster", "b").agg(F.collect_list("t").alias("tiles"))
     placed = rows.join(places, ["cluster", "b"]).select("cluster", "k", "id", "tiles")
-    each = sets.join(placed, ["cluster", "k", "id"]).select("cluster", F.explode("tiles").alias("t"), "k", "id", "g").select("cluster", "t.*", "k", "id", "g")
+    each = sets.join(placed, ["cluster", "k", "id"]).select("cluster", F.explode("tiles").alias("t"), "k", "id", "g", *more).select("cluster", "t.*", "k", "id", "g", *more)
     return each.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "right")
 
 
@@ -199,6 +199,68 @@ def near_edges(sets: DataFrame, one: DataFrame, threshold: float, block: int = B
     return _tiles(sets, one, threshold, block).mapInArrow(run, f"left {kind}, right {kind}")
 
 
+def pairs(sets: DataFrame, threshold: float, meet: Callable[[np.ndarray], np.ndarray], block: int = BLOCK) -> DataFrame:
+    """(left, right, jaccard), left < right: all pairs of members of a cluster whose sets have such a similarity at least
+    and that meet. Similarities are found once for two sets, and their members paired where they are found.
+
+    sets: (cluster, k, id, n, size, g, s, ids), written, a row for each distinct set with its members' ids. meet makes a
+    matrix of keys from that of the sets' s; two sets meet where they agree in a column."""
+    kind = dict(sets.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            j, left = _similar(t)
+            whole = left == t.num_rows
+            keys = meet(np.array(t.column("s").to_pylist(), np.int64))
+            met = np.zeros(j.shape, bool)
+            for c in range(keys.shape[1]):
+                met |= keys[:left, c, None] == keys[None, 0 if whole else left :, c]
+            met &= j >= threshold
+            x, y = np.nonzero(np.triu(met, 1) if whole else met)
+            yield from _members_paired(t.column("ids"), x, y if whole else y + left, j[x, y])
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = pa.chunked_array([b.column(0).slice(i, 1).flatten()])
+                for at in range(len(ids)):  # each member with the later ones
+                    n = len(ids) - at - 1
+                    if n:
+                        yield _ordered(ids.take(pa.array(np.full(n, at))), ids.slice(at + 1), np.ones(n))
+
+    out = f"left {kind}, right {kind}, jaccard double"
+    apart = _tiles(sets, sets.select("cluster", "k", "id", "n", "size"), threshold, block, "s", "ids").mapInArrow(run, out)
+    return apart.unionAll(sets.where("n > 1").select("ids").mapInArrow(same, out)) if threshold <= 1 else apart
+
+
+def _ordered(a: pa.ChunkedArray, b: pa.ChunkedArray, similar: np.ndarray) -> pa.RecordBatch:
+    later = pc.less(b, a)
+    one = lambda x: (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
+    return pa.RecordBatch.from_arrays([one(pc.if_else(later, b, a)), one(pc.if_else(later, a, b)), pa.array(similar)], ["left", "right", "jaccard"])
+
+
+#: Pairs of members in a batch, if one set's members are no more.
+_PAIRS = 1 << 16
+
+
+def _members_paired(lists: pa.ChunkedArray, x: np.ndarray, y: np.ndarray, similar: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All members of the sets x with those of the sets y, in batches of bounded size."""
+    n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    start, ids = np.cumsum(n) - n, pc.list_flatten(lists)
+    # a member of x with all of y is a row, and rows are cut by how many pairs they are
+    first = np.repeat(start[x], n[x]) + np.arange(n[x].sum()) - np.repeat(np.cumsum(n[x]) - n[x], n[x])
+    of = np.repeat(np.arange(len(x)), n[x])
+    done = np.cumsum(n[y[of]])
+    at = 0
+    while at < len(of):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _PAIRS, "right")))
+        width = n[y[of[at:to]]]
+        a = np.repeat(first[at:to], width)
+        b = np.repeat(start[y[of[at:to]]], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        yield _ordered(ids.take(pa.array(a)), ids.take(pa.array(b)), np.repeat(similar[of[at:to]], width))
+        at = to
+
+
 def _roots(near: np.ndarray) -> np.ndarray:
     """The first row that each row is linked with, through others too."""
     n = len(near)

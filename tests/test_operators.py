@@ -385,3 +385,25 @@ def test_repeated_ranges(spark, many):
         assert sorted((x.doc_id, s) for x in got for s in range(x.first, x.last)) == want
     plan = substring.repeated_spans(docs, 30, index="doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "hash" not in plan.lower().replace("hashpartitioning", "")  # no row for each window
+
+
+def test_pairs_by_tiles(spark, monkeypatch):
+    """All pairs of buckets with their similarities, against the plain joins; small limits cut tiles and batches."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(30)]
+    texts = [" ".join(w if r.random() > 0.15 * (k % 3) else f"x{k}" for w in base[: r.choice([12, 30])]) for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:9] + [texts[0]] * 5)), "__INDEX__ long, text string")
+    c = minhash.MinHash(num_perm=16, bands=8, rows=2, ngram=2)
+    sets = {x["__INDEX__"]: set(x.g) for x in docs.select("__INDEX__", minhash.grams(c).alias("g")).collect()}
+    want = sorted((x.left, x.right, len(sets[x.left] & sets[x.right]) / len(sets[x.left] | sets[x.right])) for x in minhash.pair_edges(minhash.band_rows(docs, c)).collect())
+    monkeypatch.setattr(within, "_PAIRS", 7)
+    found = minhash.pair_similarities(docs, c)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # pairs are joined with nothing
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 100
+    monkeypatch.setattr(within.pairs, "__defaults__", (600,))
+    assert sorted(map(tuple, minhash.pair_similarities(docs, c).collect())) == want
+
+
+def test_query_of_pairs_is_its_sql(spark):
+    test_query_is_its_sql(spark, "pair_jaccard")
+    test_query_is_its_sql(spark, "cluster_jaccard")
