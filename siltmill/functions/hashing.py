@@ -65,14 +65,25 @@ def hash_texts(kind: str, bits: int) -> Callable[[Iterable[bytes]], np.ndarray]:
     return lambda texts: np.fromiter(map(one, texts), np.uint64)
 
 
+def views(col: pa.Array) -> Iterator[memoryview | None]:
+    """The UTF-8 bytes of each text where they lie, None for nulls: a batch isn't made anew as Python's strings."""
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1]
+    whole = memoryview(data if data is not None else b"")
+    for i, valid in enumerate(col.is_valid().to_numpy(zero_copy_only=False)):
+        yield whole[at[i] : at[i + 1]] if valid else None
+
+
 def hash_column(text: Column | str, kind: str = "xxh3", bits: int = 64, seed: int = 0) -> Column:
     """Hash of a string: a long up to 64 bits (the bit pattern where the sign bit is set), binary beyond."""
     one = hash_text(kind, bits, seed)
+    if kind == "xxh3" and bits == 64:
+        one = functools.partial(xxhash.xxh3_64_intdigest, seed=seed)
     wide = bits > 64
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
-            out = [None if t is None else one(t.encode()) for t in col.to_pylist()]
+            out = [None if t is None else one(t) for t in views(col)]
             if wide:
                 yield pa.array([None if h is None else h.to_bytes(bits // 8, "big") for h in out], pa.binary())
             else:

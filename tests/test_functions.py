@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -200,3 +201,14 @@ def test_hashes_of_many_texts(kind, bits):
     one = hashing.hash_text(kind, bits)
     assert hashing.hash_texts(kind, bits)(iter(texts)).tolist() == [one(x) for x in texts]
     assert len(hashing.hash_texts(kind, bits)([])) == 0
+
+
+def test_texts_are_hashed_where_they_lie():
+    texts = ["a", None, "", "é z", "x" * 300, None]
+    for kind in (pa.string(), pa.large_string()):
+        col = pa.array(texts, kind)
+        for at in range(len(texts)):
+            got = list(hashing.views(col.slice(at, 4)))
+            assert [x if x is None else bytes(x).decode() for x in got] == texts[at : at + 4]
+            assert all(x is None or isinstance(x, memoryview) for x in got)
+    assert list(hashing.views(pa.array([], pa.string()))) == [] and list(hashing.views(pa.array([None], pa.string()))) == [None]
