@@ -141,11 +141,12 @@ def _replay(c: SimHash):
         for doc, hi, lo in zip(group.id.tolist(), group.hi.tolist(), group.lo.tolist()):
             sig = (hi % (1 << 64)) << 64 | lo % (1 << 64)
             for mask in masks:
-                bucket = buckets.setdefault((mask, sig & mask), [])
-                for other, other_sig in bucket:
+                # documents of one signature are one set once they have met, so the first stands for them
+                bucket = buckets.setdefault((mask, sig & mask), {})
+                for other_sig, other in bucket.items():
                     if other != doc and (sig ^ other_sig).bit_count() <= c.bit_diff:
                         forest.union(doc, other)
-                bucket.append((doc, sig))
+                bucket.setdefault(sig, doc)
         return pd.DataFrame([(x, forest.find(x)) for x in group.id.tolist()], columns=["id", "component"])
 
     return run

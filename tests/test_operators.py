@@ -1,8 +1,10 @@
 """Pipelines, graphs, spans and reports against plain Python and SQL."""
 
 import random
+import time
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,3 +423,24 @@ def test_labels_are_compared_as_sets(spark):
     assert {x.name: tuple(x)[1:] for x in got.collect()} == want and len(want) == 60
     assert {k for *_, k, _ in want.values()} >= {"FP", "FN"}
     assert "collect" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_replay_of_copies():
+    """Thousands of copies meet their first one only, and the roots are those of a plain replay."""
+    r = random.Random(7)
+    c = simhash.SimHash()
+    seen = [r.getrandbits(63) & ~0xFFFF for _ in range(2)]
+    rows = [(k, 0, r.choice(seen) ^ r.choice([0, 0, 1, 6, 1 << 20])) for k in range(300)]
+    forest, buckets = UnionFind(), {}
+    for doc, _, sig in rows:
+        for mask in hashing.block_keys(64, 4, 3):
+            for other, other_sig in buckets.get((mask, sig & mask), []):
+                if (sig ^ other_sig).bit_count() <= 3:
+                    forest.union(doc, other)
+            buckets.setdefault((mask, sig & mask), []).append((doc, sig))
+    replay = simhash._replay(c)
+    got = replay(pd.DataFrame(rows, columns=["id", "hi", "lo"]))
+    assert dict(zip(got.id, got.component)) == {k: forest.find(k) for k, *_ in rows}
+    began = time.process_time()
+    replay(pd.DataFrame([(k, 0, 5) for k in range(20_000)], columns=["id", "hi", "lo"]))
+    assert time.process_time() - began < 20  # all pairs are 800 million meetings
